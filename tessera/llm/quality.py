@@ -1,8 +1,8 @@
 """Quality rules by weak supervision.
 
 Rules vote good, bad or abstain on every document. Expectation-maximisation
-over the counts of vote patterns of the whole corpus estimates each rule's
-accuracy and the share of good documents; a document is kept if its posterior
+over the counts of vote patterns of the whole corpus estimates how accurate
+each rule is and the share of good documents; a document is kept if its posterior
 probability of being good is at least one half and no base rule fails it.
 """
 
@@ -22,9 +22,11 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
 _DIGITS = b"0123456789"
+#: Words of one character that is neither letter nor digit.
+_BARE = frozenset(bytes([c]) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _STOPS = (b".", b"!", b"?", b":", b'"', b"'", b")")
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_stopped", "n_distinct")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_stopped", "n_distinct", "n_bare")
 
 
 def _without(data: bytes, drop: bytes) -> int:
@@ -61,6 +63,7 @@ def text_features(data: bytes) -> tuple:
         len(data) - _without(data, _DIGITS),
         sum(x.rstrip().endswith(_STOPS) for x in lines),
         len(set(words)),
+        sum(map(_BARE.__contains__, words)),
     )
 
 
@@ -83,52 +86,56 @@ def votes() -> list[Column]:
     """The rules as columns over FEATURES: 1 good, -1 bad, 0 abstains. None depends on the language."""
     f = {x: F.col(x).cast("double") for x in FEATURES}
     words, lines = F.greatest(f["n_words"], F.lit(1.0)), F.greatest(f["n_lines"], F.lit(1.0))
-    mean = f["word_chars"] / words
-    letters = F.greatest(f["n_upper"] + f["n_lower"], F.lit(1.0))
+    letters, chars = F.greatest(f["n_upper"] + f["n_lower"], F.lit(1.0)), F.greatest(f["word_chars"], F.lit(1.0))
+    mean, long_enough = f["word_chars"] / words, f["n_words"] >= 50
     return [
-        _vote(mean.between(3, 9), (mean < 2) | (mean > 15)),
-        _vote(f["n_symbols"] / words <= 0.05, f["n_symbols"] / words > 0.1),
-        _vote((f["n_lines"] > 2) & (f["n_dup_lines"] / lines <= 0.1), f["n_dup_lines"] / lines > 0.3),
-        _vote((f["n_words"] >= 50) & (f["n_repeat_words"] / words <= 0.1), f["n_repeat_words"] / words > 0.25),
-        _vote(f["n_words"] >= 100, f["n_words"] < 50),
-        _vote(f["n_upper"] / letters <= 0.1, f["n_upper"] / letters > 0.3),
-        _vote(f["n_digits"] / F.greatest(f["word_chars"], F.lit(1.0)) <= 0.05, f["n_digits"] / F.greatest(f["word_chars"], F.lit(1.0)) > 0.2),
-        _vote(f["n_stopped"] / lines >= 0.6, (f["n_lines"] > 5) & (f["n_stopped"] / lines < 0.1)),
-        _vote((f["n_words"] >= 50) & (f["n_distinct"] / words > 0.3), (f["n_words"] >= 50) & (f["n_distinct"] / words < 0.1)),
+        _vote(mean.between(4, 6.5), (mean < 3) | (mean > 7.5)),
+        _vote(f["n_symbols"] / words <= 0.01, f["n_symbols"] / words > 0.05),
+        _vote(f["n_bare"] / words <= 0.01, f["n_bare"] / words > 0.1),
+        _vote((f["n_lines"] > 2) & (f["n_dup_lines"] / lines <= 0.1), f["n_dup_lines"] / lines > 0.25),
+        _vote(long_enough & (f["n_repeat_words"] / words <= 0.1), f["n_repeat_words"] / words > 0.25),
+        _vote(f["n_words"] >= 100, f["n_words"] < 30),
+        _vote(f["n_upper"] / letters <= 0.06, f["n_upper"] / letters > 0.3),
+        _vote(f["n_digits"] / chars <= 0.01, f["n_digits"] / chars > 0.15),
+        _vote(f["n_stopped"] / lines >= 0.9, f["n_stopped"] / lines < 0.5),
+        _vote(long_enough & (f["n_distinct"] / words > 0.45), long_enough & (f["n_distinct"] / words < 0.25)),
     ]
 
 
-def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """EM for rules that are right with one accuracy each and abstain regardless of quality.
+#: The driver gets the counts of vote patterns: at most 3 to the power of the number of rules.
+MAX_PATTERNS = 3**10
 
-    ``patterns``: rows of votes; ``counts``: documents of each. Returns the
-    accuracies, the share of good documents and each pattern's posterior.
-    Beta priors keep accuracies inside (0.5, 1), so the classes can't swap.
+
+def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float, np.ndarray]:
+    """EM over vote patterns (rows of -1, 0, 1) and the number of documents with each.
+
+    Each rule has, for either class, the probabilities of its three votes, so a
+    rule may be better at finding bad documents than good ones. The first guess
+    holds documents without a bad vote for good. Returns those probabilities
+    (class, rule, vote), the share of good documents and each pattern's
+    posterior probability of being good.
     """
-    good, bad = patterns == 1, patterns == -1
-    share = 0.8
-    accuracy = np.full(patterns.shape[1], 0.8)
-    posterior = np.full(len(patterns), share)
+    seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    posterior = np.where((patterns == -1).any(axis=1), 0.1, 0.95)
+    chances, share = np.empty((2, patterns.shape[1], 3)), 0.5
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        logit = np.log(share / (1 - share)) + patterns @ weight
+        share = float(np.clip((counts @ posterior + 8) / (counts.sum() + 10), 0.05, 0.95))
+        for k, weight in enumerate((1 - posterior, posterior)):
+            mass = np.einsum("p,pjv->jv", counts * weight, seen) + 1
+            chances[k] = mass / mass.sum(axis=1, keepdims=True)
+        logit = np.log(share / (1 - share)) + np.einsum("pjv,jv->p", seen, np.log(chances[1] / chances[0]))
         new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-        right = counts @ (good * new[:, None] + bad * (1 - new)[:, None])
-        total = counts @ (good | bad)
-        prior = 0.05 * counts.sum() + 1
-        accuracy = np.clip((right + 0.8 * prior) / (total + prior), 0.55, 0.98)
-        share = float(np.clip((counts @ new + 8) / (counts.sum() + 10), 0.05, 0.95))
-        if np.abs(new - posterior).max() < 1e-9:
+        moved, posterior = np.abs(new - posterior).max(), new
+        if moved < 1e-9:
             break
-        posterior = new
-    return accuracy, share, posterior
+    return chances, share, posterior
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FEATURES, base_failed, posterior and kept for every input row.
 
     Null texts have no words and fail the base rules. The only thing that
-    comes to the driver is the table of vote patterns, at most 3^9 rows.
+    comes to the driver is the table of vote patterns, at most MAX_PATTERNS rows.
     An empty input gives an empty result.
     """
     rules = votes()
@@ -142,5 +149,5 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     patterns = np.array([[int(v) for v in r["pattern"].split(",")] for r in counted])
     _, _, posterior = fit_accuracies(patterns, np.array([r["count"] for r in counted], float))
     table = found.sparkSession.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counted, posterior)], "pattern string, posterior double")
-    scored = found.join(F.broadcast(table), "pattern")  # at most 3^9 rows
+    scored = found.join(F.broadcast(table), "pattern")  # at most MAX_PATTERNS rows
     return scored.drop("pattern").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
