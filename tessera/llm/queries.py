@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, simhash, urls
-from .common import read
+from . import media, quality, simhash, toxicity, urls
+from .common import crc32_mod, read
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 5) == 0
+    labelled = docs.where(~held_out).select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    model = toxicity.train(labelled)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +36,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_media": op3_media,
     "op5_urls": op5_urls,
     "op6_simhash": op6_simhash,
