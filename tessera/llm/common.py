@@ -73,3 +73,19 @@ def crc32_mod(col: Column, n: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def lowest_hashes(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
+    """Up to ``most`` rows of each value of ``by`` (not null): those whose ids hash lowest, ties by id.
+
+    ``rows`` should be narrow. Counts give for each value a bound that about
+    1.5 times as many hashes are below as are wanted, so that only these are
+    ranked. Adds __h, the hash as a number from 0 to 1, and __n, the value's count.
+    """
+    from pyspark.sql import Window
+
+    hashed = rows.where(F.col(by).isNotNull()).withColumn("__h", F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53)))
+    counts = hashed.groupBy(by).agg(F.count("*").alias("__n"))
+    near = hashed.join(counts, by).where(F.col("__h") * F.col("__n") <= 1.5 * most + 50)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("__h", id_col))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")

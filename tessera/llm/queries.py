@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, simhash, toxicity, urls
+from . import langid, media, mixing, packing, quality, simhash, toxicity, urls
 from .common import crc32_mod, read
 
 
@@ -44,6 +44,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -52,6 +59,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
