@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 RADIUS = 3
 BLOCK = 4096
 RING = 7
@@ -210,6 +212,19 @@ def _part_pairs(ring: bool):
     return lambda batches: _batches(rows(batches))
 
 
+def keyed_blocks(units: DataFrame, fp: str, ring: bool) -> DataFrame:
+    """(key, fp) for the distinct fingerprints of ``units``, dealt and sorted by key.
+
+    Only the fingerprint and the number of the key are shuffled.
+    """
+    col = F.col("fp")
+    keys = ring_keys(col) if ring else pair_keys(col)
+    key = F.get(F.array(*keys), F.col("k").cast("int"))
+    distinct = units.where(F.col(fp).isNotNull()).select(F.col(fp).cast("long").alias("fp")).distinct()
+    each = distinct.select("fp", F.explode(F.array(*(F.lit(k).cast("byte") for k in range(len(keys))))).alias("k"))
+    return each.repartition(key).select(key.alias("key"), "fp").sortWithinPartitions("key", "fp")
+
+
 def hamming_links(units: DataFrame, fp: str = "fp", ring: bool = True) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``units`` that connect all within RADIUS of each other.
 
@@ -217,12 +232,7 @@ def hamming_links(units: DataFrame, fp: str = "fp", ring: bool = True) -> DataFr
     a chain of links of at most RADIUS differing bits connects them. Nulls are
     not compared.
     """
-    from .common import materialize
-
-    col = F.col("fp")
-    keyed = units.where(F.col(fp).isNotNull()).select(F.col(fp).cast("long").alias("fp")).distinct()
-    keyed = keyed.select(F.explode(F.array(*(ring_keys(col) if ring else pair_keys(col)))).alias("key"), "fp")
-    found = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_small_blocks(ring), _OUT))
+    found = materialize(keyed_blocks(units, fp, ring).mapInArrow(_small_blocks(ring), _OUT))
     large = found.where("part >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "part")
     parts = large.groupBy("key").agg((F.max("part") + 1).alias("n"))
     # a block of exactly BLOCK members is a single part, which meets itself

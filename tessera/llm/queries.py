@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, quality, simhash, toxicity, urls
+from . import langid, lines, media, mixing, packing, quality, simhash, toxicity, urls
 from .common import crc32_mod, read
 
 
@@ -26,6 +26,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_columns(read(spark, sf_dir, "documents")))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_media": op3_media,
+    "op4_lines": op4_lines,
     "op5_urls": op5_urls,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
