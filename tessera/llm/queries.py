@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, mixing, packing, quality, simhash, toxicity, urls
-from .common import crc32_mod, read
+from . import langid, lines, lm, media, mixing, packing, quality, simhash, toxicity, urls
+from .common import crc32_mod, materialize, read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are all documents labelled as of good quality, the background all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    target = materialize(docs.join(good, "doc_id", "left_semi").select("text"))
+    found = lm.score(docs, lm.train(target, docs))
+    return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_filter(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
@@ -63,6 +72,7 @@ QUERIES = {
     "op5_urls": op5_urls,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_lm": op8_lm,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
