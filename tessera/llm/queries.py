@@ -17,8 +17,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc32_mod(F.col("doc_id"), 5) == 0
-    labelled = docs.where(~held_out).select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.train(labelled)
+    model = toxicity.train(read(spark, sf_dir, "labels").where(~held_out), docs)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import lowest_hashes, map_batches
 
 _WORD = re.compile(r"[^\W_]+")
 #: Subwords: n-grams of these lengths of the word between < and >, and the whole.
@@ -31,15 +32,37 @@ LEAST_ROWS = 10
 _MEMORY = 300_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def subwords(word: str) -> list[int]:
-    data = f"<{word}>"
-    grams = {data[i : i + n] for n in LENGTHS for i in range(len(data) - n + 1)}
-    grams.add(data)
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """The lower-case words, in one list for each million characters or so."""
+    text, at = text or "", 0
+    while at < len(text):
+        end = text.find(" ", at + (1 << 20))
+        end = len(text) if end < 0 else end
+        yield _WORD.findall(text[at:end].lower())
+        at = end
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all ``words``, and the word that each belongs to (ascending)."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) for w in marked])
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters up to the word's end
+    whole = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in marked], np.uint64)
+    buckets, owners = [whole], [np.arange(len(words))]
+    for n in LENGTHS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = (h ^ codes[at + k]) * np.uint64(0x100000001B3)
+        buckets.append(h ^ (h >> np.uint64(29)))
+        owners.append(owner[at])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (np.concatenate(buckets)[order] % np.uint64(BUCKETS)).astype(np.int32), owners[order]
 
 
 @dataclass
@@ -50,9 +73,11 @@ class Model:
     used: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        ids = subwords(word)
-        return float(self.weights[ids].sum() / max(1, self.used[ids].sum()))
+    def words(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the mean: the mean of its fitted subwords' weights."""
+        buckets, owner = subwords(words)
+        total = np.bincount(owner, weights=self.weights[buckets], minlength=len(words))
+        return total / np.maximum(1, np.bincount(owner, weights=self.used[buckets], minlength=len(words)))
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -60,20 +85,13 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, offsets[:-1], axis=0)
 
 
-def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.08, decay: float = 0.05, seed: int = 7) -> Model:
     """Joint fit of embeddings and softmax by Adam on mini-batches of the weighted log loss."""
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
-    subs: list[np.ndarray] = []
     docs, kept = [], []
     for k, text in enumerate(texts):
-        ids = []
-        for w in words_of(text):
-            i = known.get(w)
-            if i is None:
-                i = known[w] = len(subs)
-                subs.append(np.array(subwords(w), np.int32))
-            ids.append(i)
+        ids = [known.setdefault(w, len(known)) for words in words_of(text) for w in words]
         if ids:
             docs.append(np.unique(np.array(ids), return_counts=True))
             kept.append(k)
@@ -82,13 +100,17 @@ def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: i
     if not docs or len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool), start)
     y, weight = labels[kept].astype(np.float64), row_weights[kept] / row_weights[kept].mean()
+    flat, owner = subwords(list(known))
+    start_of = np.searchsorted(owner, np.arange(len(known) + 1))
     rows_with = np.zeros(BUCKETS, np.int32)
     for ids, _ in docs:
-        rows_with[np.unique(np.concatenate([subs[i] for i in ids]))] += 1
+        rows_with[np.unique(np.concatenate([flat[start_of[i] : start_of[i + 1]] for i in ids.tolist()]))] += 1
     used = rows_with >= LEAST_ROWS
-    subs = [s[used[s]] if used[s].any() else np.array([BUCKETS], np.int32) for s in subs]  # the last bucket stays 0
-    lengths = np.array([len(s) for s in subs])
-    flat = np.concatenate(subs)
+    keep = used[flat]
+    none = np.flatnonzero(np.bincount(owner[keep], minlength=len(known)) == 0)  # words without a fitted subword get the last bucket, which stays 0
+    owner, flat = np.concatenate([owner[keep], none]), np.concatenate([flat[keep], np.full(len(none), BUCKETS, np.int32)])
+    order = np.argsort(owner, kind="stable")
+    flat, lengths = flat[order], np.bincount(owner, minlength=len(known))
     begin = np.concatenate([[0], np.cumsum(lengths)])
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
     emb[:-1][~used] = emb[-1] = 0
@@ -138,43 +160,65 @@ def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: i
 
 
 class Scorer:
+    """Scores texts, and remembers up to _MEMORY words or those of one part of a text."""
+
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, float] = {}
 
-    def __call__(self, text: str | None) -> float:
-        """The probability of label 1; a text without words has that of the bias alone."""
-        total, n, known = 0.0, 0, self.known
-        words = words_of(text)
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                if len(known) >= _MEMORY:
-                    known.clear()
-                x = known[w] = self.model.word(w)
-            total += x
-        n = len(words)
-        logit = self.model.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-
-
-def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Up to ``most`` rows of either label (those whose ids hash lowest), weighted back to the labels' shares."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))).where(F.col("rank") <= most)
-    got = sorted(ranked.select("h", "y", "text").collect(), key=lambda r: (r["h"], r["y"], r["text"] or ""))
+    def learn(self, lists: list[list[str]]) -> None:
+        words = set().union(*lists)
+        fresh = words - self.known.keys()
+        if len(self.known) + len(fresh) > _MEMORY:
+            self.known, fresh = {}, words
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            self.known.update(zip(part, self.model.words(part).tolist()))
+
+    def texts(self, texts: list[str | None]) -> Iterator[float]:
+        """The probability of label 1 of each; a text without words has that of the bias alone."""
+        sums, held, size = [[0.0, 0] for _ in texts], [], 0
+
+        def add():
+            self.learn([words for _, words in held])
+            for k, words in held:
+                sums[k][0] += sum(map(self.known.__getitem__, words))
+                sums[k][1] += len(words)
+
+        for k, text in enumerate(texts):
+            for words in words_of(text):
+                held.append((k, words))
+                size += len(words)
+                if size > 200_000:
+                    add()
+                    held, size = [], 0
+        add()
+        for total, n in sums:
+            yield float(1 / (1 + np.exp(-np.clip(self.model.bias + (total / n if n else 0.0), -500, 500))))
+
+
+def sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of up to ``most`` rows of either label, those whose ids hash lowest.
+
+    The ids are chosen from ``labels`` before any text is read; weights restore
+    the labels' shares. Labels whose documents are missing don't come back.
+    """
+    chosen = lowest_hashes(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")), "y", "__id", most)
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))  # at most 2 * most ids
+    got = sorted(rows.select("__h", "y", "text", "__n").collect(), key=lambda r: (r["__h"], r["y"], r["text"] or ""))
     y = np.array([r["y"] for r in got], np.int64)
-    sizes = np.bincount(y, minlength=2) if len(y) else np.zeros(2)
-    return [r["text"] or "" for r in got], y, np.array([counts[k] / sizes[k] for k in y.tolist()], float)
+    sizes = np.bincount(y, minlength=2)
+    return [r["text"] or "" for r in got], y, np.array([r["__n"] / sizes[r["y"]] for r in got], float)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_FIT_ROWS) -> Model:
-    """Fit on a bounded sample of ``labelled`` rows; labels other than 0 and 1 are left out.
+def train(labels: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_FIT_ROWS) -> Model:
+    """Fit on a bounded sample of the documents that ``labels`` has; labels other than 0 and 1 are left out.
 
     Without rows of both classes the model knows only the classes' shares.
     """
-    return fit(*sample(labelled, id_col, text_col, label_col, most))
+    return fit(*sample(labels, docs, id_col, text_col, label_col, most))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +229,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batch):
         if not scorers:
             scorers.append(Scorer(Model(*shared.value)))
-        p = [scorers[0](t) for t in batch.column(1).to_pylist()]
+        p = list(scorers[0].texts(batch.column(1).to_pylist()))
         return {id_col: batch.column(0), "score": p, "predicted": [int(x >= 0.5) for x in p]}
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
