@@ -70,6 +70,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), schema, run)
 
 
+def _grouped(fps: DataFrame, id_col: str) -> DataFrame:
+    """fp, component_id and root of every distinct fingerprint of ``fps``."""
+    units = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    roots = components(hamming_links(units))
+    joined = materialize(units.join(roots, units["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    return joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``id_col``, fp and component_id: the smallest id that links of at most three differing bits reach.
 
@@ -78,9 +86,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. Texts without words share fingerprint 0.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    units = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(hamming_links(units))
-    joined = units.join(roots, units["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined)
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    return fps.join(_grouped(fps, id_col).drop("root"), "fp").select(id_col, "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component: the smallest by id (null last), then by a hash of the text.
+
+    Of rows with equal id and text any one stays.
+    """
+    key = F.xxhash64(F.col(text_col))
+    keyed = docs.select(F.struct(F.col(id_col), key.alias("__doc")).alias("__key"), F.col(text_col))
+    fps = materialize(fingerprints(keyed, "__key", text_col, shingle).select(F.col("__key").getField(id_col).alias("__id"), F.col("__key.__doc").alias("__hash"), "fp"))
+    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__first_id"), F.col("__hash").alias("__first_hash"))
+    by_fp = fps.groupBy("fp").agg(F.min(place).alias("place"))
+    first = _grouped(fps, "__id").join(by_fp, "fp").groupBy("root").agg(F.min("place").alias("place")).select("place.*")
+    kept = docs.withColumn("__hash", key).join(first, F.col(id_col).eqNullSafe(F.col("__first_id")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, "__hash"]).drop("__hash")
