@@ -12,9 +12,9 @@ from __future__ import annotations
 import ast
 import builtins
 import inspect
+import linecache
 import math
 import operator
-import textwrap
 import types as pytypes
 from collections.abc import Callable
 
@@ -128,20 +128,40 @@ _ARRAY: dict[object, Callable[[Expr], Expr]] = {
 }
 
 
+_TREES: dict[str, tuple[int, ast.Module]] = {}
+
+
+def _definition(f: Callable) -> ast.FunctionDef | ast.Lambda:
+    """Where ``f`` is defined: by line, and among several lambdas of a line by the place of its code."""
+    code = f.__code__
+    lines = linecache.getlines(code.co_filename, f.__globals__)
+    source = "".join(lines)
+    cached = _TREES.get(code.co_filename)
+    if cached is None or cached[0] != hash(source):
+        try:
+            cached = _TREES[code.co_filename] = hash(source), ast.parse(source)
+        except SyntaxError as e:
+            raise KernelError(f"the source of {f.__name__} can't be parsed") from e
+    found = []
+    for node in ast.walk(cached[1]):
+        if isinstance(node, ast.FunctionDef) and node.name == f.__name__ and min([node.lineno, *(d.lineno for d in node.decorator_list)]) == code.co_firstlineno:
+            found.append(node)
+        elif isinstance(node, ast.Lambda) and f.__name__ == "<lambda>" and node.lineno <= code.co_firstlineno <= node.end_lineno:
+            places = [p for p in code.co_positions() if p[0] is not None and p[2] is not None and p[1] is not None and p[3] is not None and (p[0], p[2]) != (p[1], p[3])]
+            body = node.body
+            if all((body.lineno, body.col_offset) <= (p[0], p[2]) and (p[1], p[3]) <= (body.end_lineno, body.end_col_offset) for p in places):
+                found.append(node)
+    if not found:
+        raise KernelError(f"no source for {f.__name__}")
+    return min(found, key=lambda n: (n.end_lineno - n.lineno, n.end_col_offset - n.col_offset))
+
+
 class Compiler:
     def __init__(self, f: Callable, depth: int = 0):
         if depth > MAX_DEPTH:
             raise KernelError(f"{getattr(f, '__name__', f)} calls itself")
         self.f, self.depth = f, depth
-        try:
-            source = textwrap.dedent(inspect.getsource(f))
-            tree = ast.parse(source if not source.lstrip().startswith(".") else "(" + source + ")")
-        except (OSError, TypeError, SyntaxError, IndentationError) as e:
-            raise KernelError(f"no source for {f}") from e
-        nodes = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.Lambda)) and getattr(n, "name", "<lambda>") == f.__name__]
-        if len(nodes) != 1:
-            raise KernelError("several functions on one line" if nodes else "function not found in its source")
-        self.node = nodes[0]
+        self.node = _definition(f)
         if self.node.args.vararg or self.node.args.kwarg:
             raise KernelError("*args and **kwargs are not supported")
 
@@ -337,8 +357,10 @@ class Compiler:
         raise KernelError(f"name {node.id} is not defined")
 
     def call(self, node: ast.Call, env: dict) -> object:
-        if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name) and node.func.value.id in env:
-            return self.method(_as_expr(env[node.func.value.id]), node.func.attr, node, env)
+        if isinstance(node.func, ast.Attribute):
+            owner = node.func.value
+            if isinstance(owner, ast.Name) and owner.id in env or not isinstance(owner, (ast.Name, ast.Attribute)):
+                return self.method(_as_expr(self.expr(owner, env)), node.func.attr, node)
         f = self.resolve(node.func, env) if not isinstance(node.func, ast.Lambda) else self.expr(node.func, env)
         f = f.f if isinstance(f, Kernel) else f
         if isinstance(f, Const):
@@ -382,7 +404,7 @@ class Compiler:
             return Compiler(f, self.depth + 1).run(tuple(args), kwargs)
         raise KernelError(f"call of {getattr(f, '__name__', f)}")
 
-    def method(self, x: Expr, name: str, node: ast.Call, env: dict) -> object:
+    def method(self, x: Expr, name: str, node: ast.Call) -> object:
         known = {"sum": np.sum, "prod": np.prod, "mean": np.mean, "min": np.min, "max": np.max, "argmin": np.argmin, "argmax": np.argmax, "all": np.all, "any": np.any, "cumsum": np.cumsum}
         if name in ("copy", "flatten", "transpose") and not node.args:
             return x

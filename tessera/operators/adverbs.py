@@ -42,20 +42,20 @@ def _normal_axis(axis, rank: int) -> int | None:
 # -- bringing tensors onto one frame
 
 
-def align(xs: Sequence[Tensor]) -> list[Tensor]:
-    """The same tensors over one frame; of different ranks, trailing axes are matched."""
+def align(xs: Sequence[Tensor], rows: bool = False) -> list[Tensor]:
+    """The same tensors over one frame; of different ranks, trailing axes are matched. With ``rows`` only the index columns are."""
     first = xs[0]
     if all(x.frame is first.frame and x.index == first.index for x in xs):
         return list(xs)
-    if any(x.inner for x in xs) and len({x.inner for x in xs}) > 1:
-        xs = [x.long() for x in xs] if max(x.rank for x in xs) > 1 and min(x.rank for x in xs if x.rank) > 0 else list(xs)
+    if not rows and len({x.inner for x in xs if x.rank}) > 1:
+        xs = [x.long() for x in xs]
     if any(x.index is None for x in xs):
         raise ValueError("tensors over different frames need positions to be matched")
     rank = max(len(x.index) for x in xs)
     extents = {}
     for x in xs:
         if x._shape is not None:
-            for k, n in enumerate(reversed(x._shape)):
+            for k, n in enumerate(reversed(x._shape[: len(x.index)] if rows else x._shape)):
                 if extents.setdefault(k, n) != n:
                     raise ValueError(f"extents {extents[k]} and {n} of one axis")
     frames: list[tuple[DataFrame, tuple, Tensor]] = []
@@ -69,9 +69,9 @@ def align(xs: Sequence[Tensor]) -> list[Tensor]:
     for frame, names, _ in frames[1:]:
         joined = joined.join(frame, list(names)) if names else joined.crossJoin(frame)
     index = [f"i{k}" for k in range(rank)]
-    shape = next((x._shape for x in xs if x._shape is not None and len(x._shape) == rank + x.inner), None)
+    shape = next((x._shape for x in xs if x._shape is not None and len(x._shape) == rank + x.inner and len(x.index) == rank), None)
     for k, x in enumerate(xs):
-        out.append(Tensor(joined, index, F.col(f"v{k}"), x.inner, shape))
+        out.append(Tensor(joined, index, F.col(f"v{k}"), x.inner, shape if shape and len(shape) == rank + x.inner else None))
     return out
 
 
@@ -115,7 +115,7 @@ def map(f: Callable, *xs, fixed: Sequence = (), axis=None, dtype: types.ElementT
     along = axis is not None and top == 2
     if along:
         tensors = [t.rows(axis) if t.rank == 2 else t for t in tensors]
-    tensors = align(tensors)
+    tensors = align(tensors, rows=along)
     tensors, closure, env = _with_fixed(tensors, fixed)
     arrays = [t for t in tensors if t.inner]
     names = [f"x{k}" for k in range(len(tensors))]

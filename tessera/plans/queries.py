@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import operator
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = re.sub(r"(, \d\)) AS ", r"\1 + 0.0 AS ", sql)  # rounding gives -0.0 there, but not in Spark
         return f
 
     return add
@@ -238,7 +239,7 @@ def scan_max(spark, folder):
     return out(adverbs.scan(named("max"), *vectors(spark, folder, "orders", "o_totalprice")))
 
 
-@query("SELECT vec_id AS i0, unnest(range(len(embedding))) AS i1, round(unnest(list_transform(range(1, len(embedding) + 1), lambda n: list_sum(list_transform(embedding[1:n], lambda x: x::DOUBLE)))), 4) + 0.0 AS v FROM embeddings")
+@query("SELECT vec_id AS i0, unnest(range(len(embedding))) AS i1, round(unnest(list_transform(range(1, len(embedding) + 1), lambda n: list_sum(list_transform(embedding[1:n], lambda x: x::DOUBLE)))), 4) AS v FROM embeddings")
 def scan_axis1(spark, folder):
     x = matrix(spark, folder)
     return out(lib.cumsum(x.with_column(F.transform(x.column, lambda v: v.cast("double"))), axis=1), 4)
@@ -402,7 +403,7 @@ def kmeans(spark, folder):
 @query("""
     SELECT vec_id AS i0, u * 8 + w AS i1, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE
         * cos((2 * ((i - 1) // 8) + 1) * u * pi() / 16) * cos((2 * ((i - 1) % 8) + 1) * w * pi() / 16)))
-        * (CASE WHEN u = 0 THEN sqrt(1 / 8) ELSE 0.5 END) * (CASE WHEN w = 0 THEN sqrt(1 / 8) ELSE 0.5 END), 4) + 0.0 AS v
+        * (CASE WHEN u = 0 THEN sqrt(1 / 8) ELSE 0.5 END) * (CASE WHEN w = 0 THEN sqrt(1 / 8) ELSE 0.5 END), 4) AS v
     FROM embeddings, range(0, 8) a(u), range(0, 8) b(w)""")
 def dct8x8(spark, folder):
     return out(programs.dct_blocks(spark, arrays.cast(matrix(spark, folder), _DOUBLE)), 4)
