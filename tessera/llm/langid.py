@@ -32,8 +32,9 @@ _MEMORY = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
+    """The lower-case words; none if the text has no letter."""
     found = _WORD.findall((text or "").lower())
-    return found if len(found) > 50 else [w for w in found if any(map(str.isalpha, w))]
+    return found if any(any(map(str.isalpha, w)) for w in found) else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -117,9 +118,7 @@ class Identifier:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words:
-            return "und", 0.0
-        if not self.langs:
+        if not words or not self.langs:
             return "und", 0.0
         at = list(map(self.known.get, words))
         total = np.zeros(len(self.langs))
