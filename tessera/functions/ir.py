@@ -375,14 +375,41 @@ def to_column(e: Expr, env: dict[str, Column]) -> Column:
         return F.aggregate(array, F.slice(array, 1, 0), step)
     if isinstance(e, ArrayReduce):
         array = go(e.array)
-        start = go(e.init) if e.init is not None else F.get(array, F.lit(0))
-        rest = array if e.init is not None else F.when(F.size(array) > 1, F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(1)))).otherwise(F.slice(array, 1, 0))
-        return F.aggregate(rest, start, lambda a, x: to_column(e.body, env | {e.acc: a, e.item: x}))
+
+        def fold_from(start: Column, rest: Column) -> Column:
+            return F.aggregate(rest, start, lambda a, x: to_column(e.body, env | {e.acc: a, e.item: x}))
+
+        if e.init is not None:
+            return fold_from(go(e.init), array)
+        if isinstance(e.array, Var):
+            return fold_from(F.get(array, F.lit(0)), _tail(array))
+        # the array is named once, or it would be computed for its first element, its length and its rest
+        return F.get(F.transform(F.array(array), lambda a: fold_from(F.get(a, F.lit(0)), _tail(a))), F.lit(0))
     if isinstance(e, ArrayCall):
         return _ARRAY[e.name](*map(go, e.args))
     raise TypeError(type(e).__name__)
 
 
+def _tail(array: Column) -> Column:
+    return F.when(F.size(array) > 1, F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(1)))).otherwise(F.slice(array, 1, 0))
+
+
+def contraction(e: Expr, x: str, y: str) -> str | None:
+    """``dot`` or ``sqdist`` if ``e`` is the sum of products, or of squared differences, of the arrays ``x`` and ``y``."""
+    if not (isinstance(e, ArrayReduce) and not isinstance(e, ArrayScan) and e.init is None and isinstance(e.array, ArrayMap) and e.body in (Op("add", (Var(e.acc), Var(e.item))), Op("add", (Var(e.item), Var(e.acc))))):
+        return None
+    names = dict(zip(e.array.arrays, e.array.names))
+    if set(names) != {Var(x, 1), Var(y, 1)}:
+        return None
+    p, q = Var(names[Var(x, 1)]), Var(names[Var(y, 1)])
+    if e.array.body in (Op("mult", (p, q)), Op("mult", (q, p))):
+        return "dot"
+    for d in (Op("sub", (p, q)), Op("sub", (q, p))):
+        if e.array.body == Op("mult", (d, d)):
+            return "sqdist"
+    return None
+
+
 def _arg(best: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda a: (F.array_position(a, best(a)) - 1).cast("int")
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -380,14 +381,48 @@ def allpairs(f: Callable, x: Tensor, y: Tensor, fixed: Sequence = (), axis: int
     if max(x.rank, y.rank) > 2:
         raise ValueError("allpairs of vectors and matrices only")
     left, right = (t.rows(axis) if t.rank == 2 else t for t in (x, y))
-    a = left.frame.select(F.col(left._positions()[0]).alias("i0"), left.column.alias("x"))
-    b = right.frame.select(F.col(right._positions()[0]).alias("i1"), right.column.alias("y"))
-    both = Tensor(a.crossJoin(b), ("i0", "i1"), F.col("x"))
+    a = left.frame.select(F.col(left._positions()[0]).cast("long").alias("i0"), left.column.alias("x"))
+    b = right.frame.select(F.col(right._positions()[0]).cast("long").alias("i1"), right.column.alias("y"))
+    if left.inner and right.inner and not fixed:
+        kind = ir.contraction(compile_kernel(f, [ir.Var("x", 1), ir.Var("y", 1)]), "x", "y")
+        if kind and left.dtype == right.dtype and left.dtype.is_float:
+            return _paired_blocks(a, b, kind, left.dtype)
+    # the work is in the pairs, so few partitions of the left side would leave most cores idle
+    both = Tensor(a.repartition("i0").crossJoin(b), ("i0", "i1"), F.col("x"))
     (both,), closure, env = _with_fixed([both], fixed)
     body = compile_kernel(f, [*closure, ir.Var("x", left.inner), ir.Var("y", right.inner)])
     return Tensor(both.frame, ("i0", "i1"), ir.to_column(body, env | {"x": F.col("x"), "y": F.col("y")}), body.rank)
 
 
+#: Rows of each side that one matrix product takes.
+PAIR_BLOCK = 256
+
+
+def _paired_blocks(a: DataFrame, b: DataFrame, kind: str, dtype: types.ElementType) -> Tensor:
+    """Inner products or squared distances of all rows: blocks of rows are paired, and each pair is one product in numpy."""
+    spark = a.sparkSession
+    left = a.groupBy(F.floor(F.col("i0") / PAIR_BLOCK).alias("p")).agg(F.collect_list(F.struct("i0", "x")).alias("x"))
+    right = b.groupBy(F.floor(F.col("i1") / PAIR_BLOCK).alias("q")).agg(F.collect_list(F.struct("i1", "y")).alias("y"))
+    blocks = left.crossJoin(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p", "q").select("x", "y")
+    kind_of = np.dtype(dtype.numpy)
+    schema = pa.schema([("i0", pa.int64()), ("i1", pa.int64()), ("v", pa.from_numpy_dtype(kind_of))])
+
+    def matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+        at, values = rows.values.field(0), rows.values.field(1)
+        return np.asarray(at), np.asarray(values.flatten()).reshape(len(at), -1)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (i, x), (j, y) = matrix(batch.column(0)[k]), matrix(batch.column(1)[k])
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError(f"rows of {x.shape[1]} and {y.shape[1]} elements")
+                v = x @ y.T if kind == "dot" else np.stack([((row - y) ** 2).sum(axis=1) for row in x])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, len(j))), pa.array(np.tile(j, len(i))), pa.array(v.ravel().astype(kind_of))], schema=schema)
+
+    return Tensor(blocks.mapInArrow(run, f"i0 long, i1 long, v {dtype.sql}"), ("i0", "i1"), F.col("v"))
+
+
 def contract(x: Tensor, y: Tensor, body: Callable[[Column, Column], Column] | None = None) -> Tensor:
     """Sums over the inner axis of x[i, k] with y[k, j]: a join on k and an aggregation, without pairing rows."""
     x, y = x.long(), y.long()
