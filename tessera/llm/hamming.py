@@ -79,6 +79,21 @@ def ring_masks(tag: int) -> list[tuple[np.uint64, int]]:
 
 
 _RING_MASKS = [ring_masks(t) for t in range(2 * RING)]
+_MASKS = np.array([[mask for mask, _ in m] for m in _RING_MASKS])
+_BUDGETS = [budget for _, budget in _RING_MASKS[0]]
+
+
+def near_pairs(keys: np.ndarray, x: np.ndarray, ring: bool) -> np.ndarray:
+    """Which pairs with the differing bits ``x``, met under ``keys``, are linked; as ``near``, for many blocks at once."""
+    if not ring:
+        return np.bitwise_count(x) <= RADIUS
+    ok = np.ones(len(x), bool)
+    tags = (keys >> 52) & 63
+    for m, budget in enumerate(_BUDGETS):
+        ok &= np.bitwise_count(x & _MASKS[tags, m]) <= budget
+    at = np.flatnonzero(ok)
+    ok[at] = np.bitwise_count(x[at]) <= RADIUS
+    return ok
 
 
 def near(key: int, fp: np.uint64, others: np.ndarray, ring: bool) -> np.ndarray:
@@ -186,19 +201,54 @@ def _links_of(key: int, fps: np.ndarray, ring: bool) -> list[np.ndarray] | None:
     return [fps[at[:, 0]], fps[at[:, 1]], np.full(len(at), -1, np.int32)]
 
 
+#: Blocks of so few members are compared all at once, pair by pair.
+_FEW = 4
+
+
+def _few(keys: np.ndarray, fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ring: bool) -> Iterator[list[np.ndarray]]:
+    """Links of the blocks that start at ``starts`` and have at most _FEW members."""
+    bits = fps.view(np.uint64)
+    for i in range(_FEW):
+        for j in range(i + 1, _FEW):
+            at = starts[sizes > j]
+            hit = at[near_pairs(keys[at], bits[at + i] ^ bits[at + j], ring)]
+            if len(hit):
+                yield [fps[hit + i], fps[hit + j], np.full(len(hit), -1, np.int32)]
+
+
 def _small_blocks(ring: bool):
     """Links of blocks of at most BLOCK members; the members of larger ones as (key, fingerprint, part)."""
 
+    def one(offset: int, keys: np.ndarray, fps: np.ndarray) -> list[np.ndarray] | None:
+        if offset or len(keys) == BLOCK:
+            return [keys, fps, np.full(len(keys), offset // BLOCK, np.int32)]
+        return _links_of(int(keys[0]), fps, ring) if len(keys) > 1 else None
+
     def rows(batches):
-        for offset, (keys, fps) in grouped(batches, BLOCK):
-            if offset or len(keys) == BLOCK:
-                yield [keys, fps, np.full(len(keys), offset // BLOCK, np.int32)]
-            elif len(keys) == 2:
-                x = fps.view(np.uint64)
-                if near(int(keys[0]), x[0], x[1:], ring)[0]:
-                    yield [fps[:1], fps[1:], np.full(1, -1, np.int32)]
-            elif len(keys) > 2 and (found := _links_of(int(keys[0]), fps, ring)):
-                yield found
+        held, done = [np.zeros(0, np.int64)] * 2, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, fps = (np.concatenate(x) for x in zip(held, _columns(batch)))
+            starts, ends = _runs(keys)
+            sizes = ends - starts
+            few = sizes <= _FEW
+            few[-1] = False  # may go on in the next batch
+            few[0] &= not done
+            yield from _few(keys, fps, starts[few], sizes[few], ring)
+            for k in np.flatnonzero(~few).tolist():
+                lo, hi = int(starts[k]), int(ends[k])
+                while hi - lo > BLOCK:
+                    yield one(done, keys[lo : lo + BLOCK], fps[lo : lo + BLOCK])
+                    lo, done = lo + BLOCK, done + BLOCK
+                if k == len(starts) - 1:
+                    held = [keys[lo:hi], fps[lo:hi]]
+                else:
+                    if found := one(done, keys[lo:hi], fps[lo:hi]):
+                        yield found
+                    done = 0
+        if len(held[0]) and (found := one(done, *held)):
+            yield found
 
     return lambda batches: _batches(rows(batches))
 
