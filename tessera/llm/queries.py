@@ -26,7 +26,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), radius=None)
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), radius=None, short=True)
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
