@@ -8,7 +8,10 @@ higher, the more it is like the target.
 The vocabulary has the most frequent words of the background, everything else
 is one unknown word; bigrams that are too rare to be kept give their mass back
 to the unigrams (absolute discounting, interpolated). Rarity is cut where
-counts, in steps of 1/32 of a doubling, first exceed the bounds.
+counts, in steps of 1/32 of a doubling, first exceed the bounds. So it is for
+``train`` and ``score``, whose model is held in memory. ``score_in_corpus``
+scores the background's own documents by all words and bigrams of the corpus:
+its model is a table that the documents' bigrams are joined to.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
@@ -188,3 +193,78 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double"
     return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), schema, run)
+
+
+def document_bigrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, h, w (hashes of history and word) and n for each bigram of each document; h is null in one more row of each."""
+    start = xxhash.xxh64_intdigest(b"")
+
+    def of(data: bytes):
+        last, size, held = start, 0, []
+        keys, counts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+
+        def add():
+            both, where = np.unique(np.concatenate([keys, *held]), axis=0, return_inverse=True)
+            ones = np.ones(sum(len(x) for x in held))
+            return both, np.bincount(where.ravel(), weights=np.concatenate([counts, ones]), minlength=len(both)).astype(np.int64)
+
+        for words in words_in(data):
+            if words:
+                ids = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                held.append(np.stack([np.concatenate([np.array([last], np.uint64), ids[:-1]]), ids], axis=1).view(np.int64))
+                last = int(ids[-1])
+                size += len(words)
+                if size > 1_000_000:
+                    keys, counts = add()
+                    held, size = [], 0
+        return add() if held else (keys, counts)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batch):
+        found = [of(x or b"") for x in batch.column(2).to_pylist()]
+        sizes = np.array([len(n) + 1 for _, n in found])
+        at = np.repeat(np.arange(len(found)), sizes)
+        marks = np.cumsum(sizes) - 1
+        keys, n = np.zeros((len(at), 2), np.int64), np.zeros(len(at), np.int64)
+        rest = np.ones(len(at), bool)
+        rest[marks] = False
+        keys[rest], n[rest] = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+        h = pa.array(keys[:, 0], mask=~rest)
+        return {"row": batch.column(0).take(pa.array(at)), "id": batch.column(1).take(pa.array(at)), "h": h, "w": keys[:, 1], "n": n}
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary"))
+    return map_batches(numbered, f"row long, id {kind}, h long, w long, n long", run)
+
+
+def corpus_bigrams(target: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
+    """h, w and log probabilities lt and lb, under both models, of all bigrams of the background ``grams``."""
+    other = document_bigrams(target.select(F.lit(0).alias("id"), text_col), "id", text_col)
+    none = F.lit(0).cast("long")
+    both = grams.select("h", "w", none.alias("t"), F.col("n").alias("b")).union(other.select("h", "w", F.col("n").alias("t"), none.alias("b")))
+    pairs = materialize(both.where("h is not null").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
+    mass = [F.sum(F.when(F.col("b") > 0, F.greatest(F.col(k) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"mass_{k}") for k in "tb"]
+    histories = pairs.groupBy("h").agg(*(F.greatest(F.sum(k), F.lit(1)).alias(f"seen_{k}") for k in "tb"), *mass)
+    singles = materialize(pairs.groupBy("w").agg(*(F.sum(k).alias(f"one_{k}") for k in "tb")))
+    total = singles.agg(*(F.coalesce(F.sum(f"one_{k}"), F.lit(0)).alias(k) for k in "tb"), F.count(F.when(F.col("one_b") > 0, 1)).alias("words")).first()
+
+    def log_probability(k: str) -> Column:
+        one = (F.col(f"one_{k}") + 1.0) / (total[k] + total["words"] + 1.0)
+        left = F.greatest(1 - F.col(f"mass_{k}") / F.col(f"seen_{k}"), F.lit(1e-6))
+        return F.log(F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / F.col(f"seen_{k}") + left * one).alias(f"l{k}")
+
+    return pairs.where("b > 0").join(histories, "h").join(singles, "w").select("h", "w", log_probability("t"), log_probability("b"))
+
+
+def score_in_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score`` of ``docs`` by models of ``target`` and of ``docs`` as the background, with all their words and bigrams.
+
+    Words are told apart by 64-bit hashes. The models stay tables.
+    """
+    grams = materialize(document_bigrams(docs, id_col, text_col))
+    model = corpus_bigrams(target, grams, text_col)
+    each = grams.where("h is not null").select("row", "h", "w", "n").join(model, ["h", "w"])
+    sums = each.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f"l{k}")).alias(k) for k in "tb"))
+    found = grams.where("h is null").select("row", F.col("id").alias(id_col)).join(sums, "row", "left")
+    t, b = (F.coalesce(-F.col(k) / F.col("n"), F.lit(0.0)) for k in "tb")
+    return found.select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))

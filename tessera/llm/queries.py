@@ -47,7 +47,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")  # the same plan at every size
     target = materialize(docs.join(good, "doc_id", "left_semi").select("text"))
-    found = lm.score(docs, lm.train(target, docs))
+    found = lm.score_in_corpus(docs, target)
     return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 

@@ -217,3 +217,18 @@ def test_lm_query_and_edge_cases(spark, sf):
     m = lm.train(docs.limit(0), docs)
     assert lm.score(docs, m).count() == 4 and lm.score(docs.limit(0), m).count() == 0
     assert lm.train(docs.limit(0), docs.limit(0)).vocabulary == {}
+
+
+def test_lm_keeps_all_words_and_bigrams(spark, sf, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "c C b"), (2, "A b\na"), (None, None), (3, " ")], "doc_id long, text string")
+    target = spark.createDataFrame([("a b a c",), (None,), ("A b z",)], "text string")
+    rows = lambda df: sorted(((r["doc_id"] or 0, r["n_words"], *(round(r[c], 5) for c in ("target_loss", "background_loss", "score"))) for r in df.collect()))
+    want = rows(lm.score(docs, lm.train(target, docs)))
+    monkeypatch.setattr(lm, "MAX_WORDS", 1)
+    monkeypatch.setattr(lm, "MAX_BIGRAMS", 1)
+    assert np.allclose(rows(lm.score_in_corpus(docs, target)), want, atol=2e-5)
+    assert not np.allclose(rows(lm.score(docs, lm.train(target, docs))), want, atol=2e-5)
+    before = rows(op8_lm(spark, sf))
+    monkeypatch.setattr(lm, "MAX_WORDS", 60_000)
+    assert rows(op8_lm(spark, sf)) == before
+    assert lm.score_in_corpus(docs.limit(0), target).count() == 0
