@@ -1,270 +1,221 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models with one vocabulary, one set of bigrams and one smoothing are
-counted over whole corpora: a target and a background. A document's score is
-the mean over its words of background loss less target loss, in nats: the
-higher, the more it is like the target.
-
-The vocabulary has the most frequent words of the background, everything else
-is one unknown word; bigrams that are too rare to be kept give their mass back
-to the unigrams (absolute discounting, interpolated). Rarity is cut where
-counts, in steps of 1/32 of a doubling, first exceed the bounds. So it is for
-``train`` and ``score``, whose model is held in memory. ``score_in_corpus``
-scores the background's own documents by all words and bigrams of the corpus:
-its model is a table that the documents' bigrams are joined to.
+Two bigram models, matched in vocabulary and smoothing, are counted over whole
+corpora: a target and a background. A document's score is the mean over its
+words of background loss less target loss, in nats: the higher, the more it is
+like the target.
+
+Smoothing is Bayesian: a history's words have the unigram probabilities as a
+prior that weighs PRIOR words, and every word of the vocabulary, and one unknown word
+besides, is counted once more than it occurs. A document that is in a corpus
+itself is scored by what remains of the model without it, so that no text is
+judged by its own counts.
+
+All words and bigrams of the corpora count; words are told apart by 64-bit
+hashes, n-grams by KEY_BITS bits of one. Documents are taken in chunks. Each
+chunk asks for its n-grams' counts in all chunks: it sends its own counts, by
+ranges of keys, to the task that adds up a range, and gets the totals back.
+Neither the models nor any part of them that grows with the corpus is held in one place.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, materialize
+from .common import discard, materialize
+from .packed import from_planes, mixed, packed_ranges, planes, range_bits_for, unpacked_range
 from .simhash import word_blocks
 
-#: Bounds of the model; its counts cover all documents.
-MAX_WORDS = 60_000
-MAX_BIGRAMS = 1_000_000
-DISCOUNT = 0.75
-_SHIFT = 16
-_UNKNOWN = 0
-_START = (1 << _SHIFT) - 1
-_STEPS = 32
+#: Words that the unigrams weigh in a history.
+PRIOR = 300.0
+#: Bytes of text in a chunk, unless one document has more.
+CHUNK = 12 << 20
+KEY_BITS = 50
+#: N-grams of all chunks that one task adds up.
+RANGE_ROWS = 1 << 21
+_MOST_RANGE_BITS = 20
+_U64 = np.uint64
+_STEP = _U64(0xD6E8FEB86659FD93)
+_WORDS, _PAIRS = 0, 1
+#: Values of a word: as a word of the target and the background, as a history of them; of a bigram: of both.
+_COLUMNS = {_WORDS: 4, _PAIRS: 2}
+
+
+def _chunk(ids: list, flags: list, texts: list[bytes]) -> dict:
+    """A row for some documents: words as numbers in the order of first use, 0 for the start of a text."""
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    known[b""]
+    parts, n = [], []
+    for data in texts:
+        size = 0
+        for words in word_blocks(data.lower()):
+            parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            size += len(words)
+        n.append(size)
+    tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    return {"ids": ids, "n": n, "in_target": [f[0] for f in flags], "in_background": [f[1] for f in flags], "words": words.tobytes(), "tokens": tokens.tobytes()}
+
+
+def _chunk_type(id_type: T.DataType) -> T.StructType:
+    fields = [("chunk", T.LongType()), ("ids", T.ArrayType(id_type)), ("n", T.ArrayType(T.LongType()))]
+    fields += [(k, T.ArrayType(T.BooleanType())) for k in ("in_target", "in_background")] + [("words", T.BinaryType()), ("tokens", T.BinaryType())]
+    return T.StructType([T.StructField(k, t) for k, t in fields])
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, target: Column, background: Column) -> DataFrame:
+    """Documents by chunks: one row for about CHUNK bytes of text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = _chunk_type(docs.schema[id_col].dataType)
+    schema = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done, size = TaskContext.get().partitionId() << 32, 0, 0
+        ids, flags, texts = [], [], []
+
+        def row():
+            return pa.RecordBatch.from_pylist([{"chunk": first + done} | _chunk(ids, flags, texts)], schema=schema)
+
+        for batch in batches:
+            for i, t, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text or b""
+                if texts and size + len(text) > CHUNK:
+                    yield row()
+                    ids, flags, texts, size, done = [], [], [], 0, done + 1
+                ids.append(i)
+                flags.append((t, b))
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield row()
+
+    flags = (F.coalesce(c, F.lit(False)) for c in (target, background))
+    return docs.select(F.col(id_col), *(f.alias(f"__{k}") for k, f in enumerate(flags)), F.col(text_col).cast("binary")).mapInArrow(run, kind)
+
+
+class _Chunk:
+    """What a chunk's row says: tokens, their histories, and the n-grams' sorted keys with each token's place among them."""
+
+    def __init__(self, row: dict):
+        n = np.array(row["n"], np.int64)
+        words, self.tokens = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<i4")
+        self.n, self.doc = n, np.repeat(np.arange(len(n)), n)
+        self.flags = [np.array(row[k], bool)[self.doc] for k in ("in_target", "in_background")]
+        history = np.empty_like(self.tokens)
+        history[1:] = self.tokens[:-1]
+        history[(np.cumsum(n) - n)[n > 0]] = 0
+        shift = _U64(64 - KEY_BITS)
+        self.word_keys, self.place = np.unique(mixed(words) >> shift, return_inverse=True)
+        self.word, self.history = self.place[self.tokens], self.place[history]
+        self.pair_keys, self.pair = np.unique(mixed(words[history] * _STEP + words[self.tokens]) >> shift, return_inverse=True)
+
+    def counts(self) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+        """Keys and values of both kinds of n-grams."""
+
+        def of(at: np.ndarray, size: int) -> list[np.ndarray]:
+            return [np.bincount(at[f], minlength=size) for f in self.flags]
+
+        size = len(self.word_keys)
+        return {_WORDS: (self.word_keys, of(self.word, size) + of(self.history, size)), _PAIRS: (self.pair_keys, of(self.pair, len(self.pair_keys)))}
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often each token's n-gram is in its own document."""
+        _, where, n = np.unique(self.doc * (int(at.max()) + 1) + at, return_inverse=True, return_counts=True)
+        return n[where]
+
+
+_ASKED = "chunk long, kind int, part int, n int, data binary"
+
+
+def _ask(bits: int):
+    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                for kind, (keys, values) in _Chunk(row).counts().items():
+                    found = [(row["chunk"], kind, *x) for x in packed_ranges(keys, values, KEY_BITS, bits)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)] if found else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _add_up(bits: int):
+    """Totals of a range, packed for each chunk in the order of its keys; and, of words, their number, as of chunk -1."""
+
+    def run(key, table):
+        kind, part = (k.as_py() for k in key)
+        sizes, chunk = table["n"].to_pylist(), table["chunk"].to_pylist()
+        parts = [unpacked_range(part, n, data, _COLUMNS[kind], KEY_BITS, bits) for n, data in zip(sizes, table["data"].to_pylist())]
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        totals = [np.bincount(where, weights=np.concatenate([p[k + 1] for p in parts]), minlength=len(keys)).astype(np.int64) for k in range(_COLUMNS[kind])]
+        ends = np.cumsum(sizes)
+        data = [b"".join(planes(t[where[e - n : e]]) for t in totals) for n, e in zip(sizes, ends.tolist())]
+        return pa.table({"chunk": pa.array([*chunk, -1], pa.int64()), "kind": pa.array([kind] * (len(chunk) + 1), pa.int32()), "part": pa.array([part] * (len(chunk) + 1), pa.int32()), "n": pa.array([*sizes, len(keys)], pa.int32()), "data": pa.array([*data, b""], pa.binary())})
 
+    return run
 
-def words_in(data: bytes) -> Iterator[list[bytes]]:
-    return word_blocks(data.lower())
 
+def _losses(c: _Chunk, answers: dict[int, list[np.ndarray]], totals: list[int], n_words: int, k: int, member: np.ndarray) -> np.ndarray:
+    """Loss of each token under the target (``k`` 0) or the background (1), without its own document if that is a ``member``."""
+    own = {name: np.where(member, c.own(at), 0) for name, at in (("pair", c.pair), ("word", c.word), ("history", c.history))}
+    rest = totals[k] - np.where(member, c.n[c.doc], 0)
+    single = (answers[_WORDS][k][c.word] - own["word"] + 1.0) / (rest + n_words + 1.0)
+    seen = answers[_WORDS][k + 2][c.history] - own["history"]
+    return -np.log((answers[_PAIRS][k][c.pair] - own["pair"] + PRIOR * single) / (seen + PRIOR))
 
-def _within(counted: DataFrame, total: str, most: int) -> DataFrame:
-    """The rows with the highest ``total``: as many steps of its logarithm as have at most ``most`` rows."""
-    step = F.floor(F.log2(F.col(total).cast("double")) * _STEPS).cast("int")
-    sizes = counted.groupBy(step.alias("step")).count().collect()  # at most 64 * _STEPS rows
-    least, n = 1 << 30, 0
-    for r in sorted(sizes, key=lambda r: -r["step"]):
-        n += r["count"]
-        if n > most:
-            break
-        least = r["step"]
-    return counted.where(step >= least)
 
+def _answer(totals: list[int], n_words: int, id_col: str):
+    names = ("n_words", "target_loss", "background_loss", "score")
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """word (A-Z lower-cased) and n, over whole texts; counted in each batch first."""
+    def run(left, right):
+        (row,) = left.to_pylist()
+        c, answers = _Chunk(row), {}
+        parts = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["part"]))
+        for kind, columns in _COLUMNS.items():
+            found = [from_planes(r["data"], r["n"], columns) for r in parts if r["kind"] == kind]
+            answers[kind] = [np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in range(columns)]
+        means = []
+        for k, member in enumerate(c.flags):
+            lost = _losses(c, answers, totals, n_words, k, member) if len(c.tokens) else np.zeros(0)
+            means.append(np.bincount(c.doc, weights=lost, minlength=len(c.n)) / np.maximum(c.n, 1))
+        return pa.table([left["ids"].combine_chunks().flatten(), c.n, *means, means[1] - means[0]], names=[id_col, *names])
 
-    def run(batch):
-        found: Counter = Counter()
-        for data in batch.column(0).to_pylist():
-            for words in words_in(data or b""):
-                found.update(words)
-        return {"word": list(found.keys()), "n": list(found.values())}
+    return run
 
-    return map_batches(docs.select(F.col(text_col).cast("binary")), "word binary, n long", run).groupBy("word").agg(F.sum("n").alias("n"))
 
-
-def _pairs(data: bytes, known: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(history, word) ids of all words of a text, block by block; the first word's history is the start."""
-    last = _START
-    for words in words_in(data):
-        if words:
-            ids = np.fromiter((known.get(w, _UNKNOWN) for w in words), np.int64, len(words))
-            yield np.concatenate([[last], ids[:-1]]), ids
-            last = int(ids[-1])
-
-
-def bigram_counts(docs: DataFrame, text_col: str, known) -> DataFrame:
-    """key (history and word) and n, over whole texts; counted in parts of each batch first."""
-
-    def run(batch):
-        held: list[np.ndarray] = []
-        size, keys, counts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def add():
-            fresh, n = np.unique(np.concatenate(held), return_counts=True)
-            both, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
-            return both, np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-
-        for data in batch.column(0).to_pylist():
-            for history, word in _pairs(data or b"", known.value):
-                held.append(history << _SHIFT | word)
-                size += len(word)
-                if size > 1_000_000:
-                    keys, counts = add()
-                    held, size = [], 0
-        if held:
-            keys, counts = add()
-        return {"key": keys, "n": counts}
-
-    return map_batches(docs.select(F.col(text_col).cast("binary")), "key long, n long", run).groupBy("key").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Models:
-    """``keys``: the kept bigrams, sorted; in each pair of rows the target comes first.
-
-    ``kept``: log probabilities of the kept bigrams; ``back``: the log of the
-    mass that a history leaves to the unigrams ``single``.
-    """
-
-    vocabulary: dict[bytes, int]
-    keys: np.ndarray
-    kept: np.ndarray
-    back: np.ndarray
-    single: np.ndarray
-
-
-def build(vocabulary: dict[bytes, int], keys: np.ndarray, counts: np.ndarray, histories: np.ndarray, singles: np.ndarray) -> Models:
-    """``counts``: of the kept bigrams; ``histories``, ``singles``: by id, of histories and words; target first."""
-    n_ids = 1 << _SHIFT
-    history, word = keys >> _SHIFT, keys & (n_ids - 1)
-    kept = np.empty((2, len(keys)), np.float32)
-    back, single = np.empty((2, n_ids), np.float32), np.empty((2, n_ids), np.float32)
-    for k in range(2):
-        one = (singles[k] + 1.0) / (singles[k].sum() + len(vocabulary) + 1.0)
-        seen = np.maximum(histories[k], 1)
-        mass = np.maximum(counts[k] - DISCOUNT, 0) / seen[history]
-        left = np.maximum(1 - np.bincount(history, weights=mass, minlength=n_ids), 1e-6)
-        kept[k] = np.log(mass + left[history] * one[word])
-        back[k], single[k] = np.log(left), np.log(one)
-    return Models(vocabulary, keys, kept, back, single)
-
-
-def train(target: DataFrame, background: DataFrame, text_col: str = "text") -> Models:
-    """Count both models; the driver gets MAX_WORDS words and MAX_BIGRAMS bigrams at most.
-
-    An empty corpus gives uniform probabilities.
-    """
-    spark = background.sparkSession
-    words = materialize(word_counts(background, text_col))
-    top = _within(words, "n", MAX_WORDS).select("word", "n").toArrow()
-    ranked = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
-    vocabulary = {w: i + 1 for i, (_, w) in enumerate(ranked)}
-    known = spark.sparkContext.broadcast(vocabulary)  # at most MAX_WORDS words
-    each = [bigram_counts(d, text_col, known).select("key", F.lit(k).alias("k"), "n") for k, d in enumerate((target, background))]
-    pivot = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(("t", "b"))]
-    pairs = materialize(each[0].union(each[1]).groupBy("key").agg(*pivot))
-    ids = 1 << _SHIFT
-    sums = np.zeros((2, 2, ids))
-    for place, col in enumerate((F.shiftright("key", _SHIFT), F.col("key").bitwiseAND(F.lit(ids - 1)))):
-        rows = pairs.groupBy(col.alias("id")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # at most 2^16 rows
-        at = rows["id"].to_numpy()
-        sums[place, 0, at], sums[place, 1, at] = rows["t"].to_numpy(), rows["b"].to_numpy()
-    kept = _within(pairs.where("b > 0").withColumn("both", F.col("b") + F.col("t")), "both", MAX_BIGRAMS).select("key", "t", "b").toArrow()
-    order = np.argsort(kept["key"].to_numpy())
-    counts = np.stack([kept[c].to_numpy()[order] for c in ("t", "b")]).astype(float)
-    return build(vocabulary, kept["key"].to_numpy()[order], counts, sums[0], sums[1])
-
-
-def losses(data: bytes, m: Models) -> tuple[int, float, float]:
-    """Words of the text, and the mean loss in nats of a word under the target and the background model."""
-    n, total = 0, np.zeros(2)
-    for history, word in _pairs(data, m.vocabulary):
-        key = history << _SHIFT | word
-        if len(m.keys):
-            at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-            hit = m.keys[at] == key
-            total += np.where(hit, m.kept[:, at], m.back[:, history] + m.single[:, word]).sum(axis=1, dtype=np.float64)
-        else:
-            total += (m.back[:, history] + m.single[:, word]).sum(axis=1, dtype=np.float64)
-        n += len(word)
-    return n, *(-(total / n) if n else total)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, target: Column, background: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_words, target_loss, background_loss and score (their difference) for every input row.
 
-    Texts that are null or have no words have losses and score 0. Other columns
-    are not read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((models.vocabulary, models.keys, models.kept, models.back, models.single))  # bounded by MAX_WORDS and MAX_BIGRAMS
-
-    def run(batch):
-        m = Models(*shared.value)
-        rows = [losses(x or b"", m) for x in batch.column(1).to_pylist()]
-        n, t, b = (np.array(c) for c in zip(*rows))
-        return {id_col: batch.column(0), "n_words": n, "target_loss": t, "background_loss": b, "score": b - t}
-
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double"
-    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), schema, run)
-
-
-def document_bigrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, h, w (hashes of history and word) and n for each bigram of each document; h is null in one more row of each."""
-    start = xxhash.xxh64_intdigest(b"")
-
-    def of(data: bytes):
-        last, size, held = start, 0, []
-        keys, counts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-
-        def add():
-            both, where = np.unique(np.concatenate([keys, *held]), axis=0, return_inverse=True)
-            ones = np.ones(sum(len(x) for x in held))
-            return both, np.bincount(where.ravel(), weights=np.concatenate([counts, ones]), minlength=len(both)).astype(np.int64)
-
-        for words in words_in(data):
-            if words:
-                ids = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                held.append(np.stack([np.concatenate([np.array([last], np.uint64), ids[:-1]]), ids], axis=1).view(np.int64))
-                last = int(ids[-1])
-                size += len(words)
-                if size > 1_000_000:
-                    keys, counts = add()
-                    held, size = [], 0
-        return add() if held else (keys, counts)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batch):
-        found = [of(x or b"") for x in batch.column(2).to_pylist()]
-        sizes = np.array([len(n) + 1 for _, n in found])
-        at = np.repeat(np.arange(len(found)), sizes)
-        marks = np.cumsum(sizes) - 1
-        keys, n = np.zeros((len(at), 2), np.int64), np.zeros(len(at), np.int64)
-        rest = np.ones(len(at), bool)
-        rest[marks] = False
-        keys[rest], n[rest] = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
-        h = pa.array(keys[:, 0], mask=~rest)
-        return {"row": batch.column(0).take(pa.array(at)), "id": batch.column(1).take(pa.array(at)), "h": h, "w": keys[:, 1], "n": n}
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary"))
-    return map_batches(numbered, f"row long, id {kind}, h long, w long, n long", run)
-
-
-def corpus_bigrams(target: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
-    """h, w and log probabilities lt and lb, under both models, of all bigrams of the background ``grams``."""
-    other = document_bigrams(target.select(F.lit(0).alias("id"), text_col), "id", text_col)
-    none = F.lit(0).cast("long")
-    both = grams.select("h", "w", none.alias("t"), F.col("n").alias("b")).union(other.select("h", "w", F.col("n").alias("t"), none.alias("b")))
-    pairs = materialize(both.where("h is not null").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
-    mass = [F.sum(F.when(F.col("b") > 0, F.greatest(F.col(k) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"mass_{k}") for k in "tb"]
-    histories = pairs.groupBy("h").agg(*(F.greatest(F.sum(k), F.lit(1)).alias(f"seen_{k}") for k in "tb"), *mass)
-    singles = materialize(pairs.groupBy("w").agg(*(F.sum(k).alias(f"one_{k}") for k in "tb")))
-    total = singles.agg(*(F.coalesce(F.sum(f"one_{k}"), F.lit(0)).alias(k) for k in "tb"), F.count(F.when(F.col("one_b") > 0, 1)).alias("words")).first()
-
-    def log_probability(k: str) -> Column:
-        one = (F.col(f"one_{k}") + 1.0) / (total[k] + total["words"] + 1.0)
-        left = F.greatest(1 - F.col(f"mass_{k}") / F.col(f"seen_{k}"), F.lit(1e-6))
-        return F.log(F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / F.col(f"seen_{k}") + left * one).alias(f"l{k}")
-
-    return pairs.where("b > 0").join(histories, "h").join(singles, "w").select("h", "w", log_probability("t"), log_probability("b"))
-
-
-def score_in_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``score`` of ``docs`` by models of ``target`` and of ``docs`` as the background, with all their words and bigrams.
-
-    Words are told apart by 64-bit hashes. The models stay tables.
+    ``target`` and ``background`` (all rows, unless given) say which rows the
+    two models are counted over; a null counts as false. Rows of neither are
+    scored too. Texts that are null or have no words have losses and score 0,
+    and so have all rows of corpora without words. Repeated rows and rows with
+    equal or null ids are documents of their own. Other columns are not read. What comes to the driver are four numbers.
     """
-    grams = materialize(document_bigrams(docs, id_col, text_col))
-    model = corpus_bigrams(target, grams, text_col)
-    each = grams.where("h is not null").select("row", "h", "w", "n").join(model, ["h", "w"])
-    sums = each.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f"l{k}")).alias(k) for k in "tb"))
-    found = grams.where("h is null").select("row", F.col("id").alias(id_col)).join(sums, "row", "left")
-    t, b = (F.coalesce(-F.col(k) / F.col("n"), F.lit(0.0)) for k in "tb")
-    return found.select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))
+    id_type = docs.schema[id_col].dataType
+    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), target.alias("__target"), (F.lit(True) if background is None else background).alias("__background"))
+    rows = materialize(chunks(docs, "__id", "__text", F.col("__target"), F.col("__background")))
+    sums = [F.coalesce(F.sum(F.aggregate(F.zip_with("n", k, lambda n, f: F.when(f, n).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)) for k in ("in_target", "in_background")]
+    *totals, entries = rows.agg(*sums, F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0)).cast("long")).first()
+    bits = range_bits_for(entries, RANGE_ROWS, _MOST_RANGE_BITS)
+    asked = rows.mapInArrow(_ask(bits), _ASKED)
+    answers = materialize(asked.groupBy("kind", "part").applyInArrow(_add_up(bits), _ASKED))
+    n_words = answers.where((F.col("chunk") == -1) & (F.col("kind") == _WORDS)).agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0] - 1  # without the start
+    out = T.StructType([T.StructField("__id", id_type), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))])
+    found = rows.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(_answer(totals, n_words, "__id"), out)
+    found = materialize(found)
+    discard(rows)
+    discard(answers)
+    return found.withColumnRenamed("__id", id_col)

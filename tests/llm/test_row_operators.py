@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from brute import WORD, repeated_words
 
-from tessera.llm import langid, lm, media, quality, toxicity, urls
-from tessera.llm.queries import op2_toxicity, op3_media, op5_urls, op8_lm, op9_quality, op10_langid
+from tessera.llm import langid, media, quality, toxicity, urls
+from tessera.llm.queries import op2_toxicity, op3_media, op5_urls, op9_quality, op10_langid
 
 # -- media
 
@@ -182,53 +182,3 @@ def test_toxicity_query_and_edge_cases(spark, sf):
     docs = spark.createDataFrame([(1, None, 5), (None, "", 5), (2, "a " * 200_000, 5), (2, "a", 5)], "doc_id long, text string, score int")
     none = toxicity.train(spark.createDataFrame([], "doc_id long, toxic int"), docs)
     assert toxicity.score(docs, none).count() == 4 and toxicity.score(docs.limit(0), none).count() == 0
-
-
-def test_lm_matches_direct_computation(spark):
-    target = spark.createDataFrame([("a b a c",), (None,), ("A b",)], "text string")
-    background = spark.createDataFrame([("a b a c",), ("c c b",), ("A b",), ("",)], "text string")
-    m = lm.train(target, background)
-    assert set(m.vocabulary) == {b"a", b"b", b"c"}
-
-    def probability(k, texts, h, w):
-        words = [t.lower().split() for t in texts]
-        flat = [x for t in words for x in t]
-        pairs = [p for t in words for p in zip(["<s>", *t], t)]
-        one = (flat.count(w) + 1) / (len(flat) + 4)
-        seen = [p for p in pairs if p[0] == h]
-        if not seen:
-            return one
-        left = 1 - sum(max(seen.count(p) - 0.75, 0) for p in set(seen)) / len(seen)
-        return max(seen.count((h, w)) - 0.75, 0) / len(seen) + left * one
-
-    corpora = [["a b a c", "A b"], ["a b a c", "c c b", "A b"]]
-    words = "c b a a".split()
-    want = [-np.mean([np.log(probability(k, corpora[k], h, w)) for h, w in zip(["<s>", *words], words)]) for k in (0, 1)]
-    n, *got = lm.losses(b"C b a\na", m)
-    assert n == 4 and got == pytest.approx(want, abs=1e-5)
-
-
-def test_lm_query_and_edge_cases(spark, sf):
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = op8_lm(spark, sf).collect()
-    by = {q: [r["score"] for r in rows if labels.get(r["doc_id"]) == q and r["n_words"] > 20] for q in (0, 1)}
-    assert len(rows) == 200 and np.mean(by[1]) > np.mean(by[0])
-    docs = spark.createDataFrame([(1, None, 1.0), (None, " ", 1.0), (2, "x " * 200_000, 1.0), (2, "x", 1.0)], "doc_id long, text string, score double")
-    m = lm.train(docs.limit(0), docs)
-    assert lm.score(docs, m).count() == 4 and lm.score(docs.limit(0), m).count() == 0
-    assert lm.train(docs.limit(0), docs.limit(0)).vocabulary == {}
-
-
-def test_lm_keeps_all_words_and_bigrams(spark, sf, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b a c"), (2, "c C b"), (2, "A b\na"), (None, None), (3, " ")], "doc_id long, text string")
-    target = spark.createDataFrame([("a b a c",), (None,), ("A b z",)], "text string")
-    rows = lambda df: sorted(((r["doc_id"] or 0, r["n_words"], *(round(r[c], 5) for c in ("target_loss", "background_loss", "score"))) for r in df.collect()))
-    want = rows(lm.score(docs, lm.train(target, docs)))
-    monkeypatch.setattr(lm, "MAX_WORDS", 1)
-    monkeypatch.setattr(lm, "MAX_BIGRAMS", 1)
-    assert np.allclose(rows(lm.score_in_corpus(docs, target)), want, atol=2e-5)
-    assert not np.allclose(rows(lm.score(docs, lm.train(target, docs))), want, atol=2e-5)
-    before = rows(op8_lm(spark, sf))
-    monkeypatch.setattr(lm, "MAX_WORDS", 60_000)
-    assert rows(op8_lm(spark, sf)) == before
-    assert lm.score_in_corpus(docs.limit(0), target).count() == 0
