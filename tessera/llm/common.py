@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,9 +50,38 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+
+
+def struct_of(**kinds: str | T.DataType) -> T.StructType:
+    """A schema from column names and types; names may be of any kind, unlike in a schema's text."""
+    return T.StructType([T.StructField(name, _KINDS[k] if isinstance(k, str) else k) for name, k in kinds.items()])
+
+
+def kind_of(df: DataFrame, name: str) -> T.DataType:
+    return df.schema[name].dataType
+
+
+def by_position(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The columns as c0, c1 ..., so that no name can clash or needs quotes, and their names for ``toDF``."""
+    names = list(df.columns)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))), names
+
+
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """New names for some columns, which are found by their exact names."""
+    moved, names = by_position(df)
+    return moved.select(*(F.col(f"c{names.index(old)}").alias(new) for new, old in columns.items()))
+
+
+def arrow_batch(schema: pa.Schema, rows: Iterable[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def map_batches(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``; it returns the output columns by name."""
-    kind = df.sparkSession.createDataFrame([], schema).schema
+    kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -66,6 +96,17 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, kind)
 
 
+def join_with_hot(big: DataFrame, small: DataFrame, key: str, n: str, limit: float) -> DataFrame:
+    """``big`` with the columns of ``small``, which has one row a ``key`` and says in ``n`` how many rows of ``big`` have it.
+
+    Keys of more than ``limit`` rows are broadcast, the others joined by a
+    shuffle; ``big`` has a bounded number of such keys if ``limit`` is a share of its rows.
+    """
+    hot = small.where(F.col(n) > limit)
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(n) <= limit), key)
+    return big.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
