@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,17 +116,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lowest_hashes(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
-    """Up to ``most`` rows of each value of ``by`` (not null): those whose ids hash lowest, ties by id.
+def bounded_sample(rows: DataFrame, by: str, key: list[str], most: int, most_groups: int, size: str | None = None, most_bytes: int = 0) -> DataFrame:
+    """Up to ``most`` rows of each value of ``by`` (not null): those whose ``key`` hashes lowest, of rows with one key one.
 
-    ``rows`` should be narrow. Counts give for each value a bound that about
-    1.5 times as many hashes are below as are wanted, so that only these are
-    ranked. Adds __h, the hash as a number from 0 to 1, and __n, the value's count.
+    With ``size``, a column of bytes, the rows of a value have ``most_bytes``
+    at most, and rows of more than a 64th of that aren't taken. Counts of
+    different keys say below which hash about 1.5 times as many are as are
+    wanted, so that only these are ranked. Adds __h, the hash as a number from
+    0 to 1, and __n, the value's count of rows. More than ``most_groups`` values are refused.
     """
-    from pyspark.sql import Window
-
-    hashed = rows.where(F.col(by).isNotNull()).withColumn("__h", F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53)))
-    counts = hashed.groupBy(by).agg(F.count("*").alias("__n"))
-    near = hashed.join(counts, by).where(F.col("__h") * F.col("__n") <= 1.5 * most + 50)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("__h", id_col))
-    return near.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
+    rows = rows.where(F.col(by).isNotNull()).withColumn("__h", F.shiftrightunsigned(F.xxhash64(*key), 11) / F.lit(float(1 << 53)))
+    counts = rows.groupBy(by).agg(F.count("*").alias("__n"), F.approx_count_distinct("__h", 0.03).alias("__keys")).limit(most_groups + 1).collect()
+    if len(counts) > most_groups:
+        raise ValueError(f"more than {most_groups} values to fit rows of")
+    table = rows.sparkSession.createDataFrame(counts, T.StructType([rows.schema[by], *(T.StructField(c, T.LongType()) for c in ("__n", "__keys"))]))
+    near = rows.join(F.broadcast(table), by).where(F.col("__h") * F.col("__keys") <= 1.5 * most + 50)  # at most ``most_groups`` rows
+    if size is not None:
+        near = near.where(F.coalesce(F.col(size), F.lit(0)) <= most_bytes // 64)
+    near = near.drop("__keys").dropDuplicates([by, "__h"])
+    order = Window.partitionBy(by).orderBy("__h")
+    ranked = near.withColumn("__rank", F.row_number().over(order))
+    if size is not None:
+        ranked = ranked.withColumn("__bytes", F.sum(F.coalesce(F.col(size), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        ranked = ranked.where(F.col("__bytes") <= most_bytes).drop("__bytes")
+    return ranked.where(F.col("__rank") <= most).drop("__rank")

@@ -64,7 +64,7 @@ def _chunk(ids: list, flags: list, texts: list[bytes]) -> dict:
         n.append(size)
     tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-    return {"ids": ids, "n": n, "in_target": [f[0] for f in flags], "in_background": [f[1] for f in flags], "words": words.tobytes(), "tokens": tokens.tobytes()}
+    return {"ids": ids, "n": n, "in_target": [f[0] for f in flags], "in_background": [f[1] for f in flags], "words": words.tobytes(), "tokens": planes(tokens)}
 
 
 def _chunk_type(id_type: T.DataType) -> T.StructType:
@@ -109,7 +109,7 @@ class _Chunk:
 
     def __init__(self, row: dict):
         n = np.array(row["n"], np.int64)
-        words, self.tokens = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<i4")
+        words, self.tokens = np.frombuffer(row["words"], "<u8"), from_planes(row["tokens"], int(n.sum()), 1)[0].astype(np.int64)
         self.n, self.doc = n, np.repeat(np.arange(len(n)), n)
         self.flags = [np.array(row[k], bool)[self.doc] for k in ("in_target", "in_background")]
         history = np.empty_like(self.tokens)
@@ -208,7 +208,7 @@ def score(docs: DataFrame, target: Column, background: Column | None = None, id_
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), target.alias("__target"), (F.lit(True) if background is None else background).alias("__background"))
     rows = materialize(chunks(docs, "__id", "__text", F.col("__target"), F.col("__background")))
     sums = [F.coalesce(F.sum(F.aggregate(F.zip_with("n", k, lambda n, f: F.when(f, n).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)) for k in ("in_target", "in_background")]
-    *totals, entries = rows.agg(*sums, F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0)).cast("long")).first()
+    *totals, entries = rows.agg(*sums, F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     bits = range_bits_for(entries, RANGE_ROWS, _MOST_RANGE_BITS)
     asked = rows.mapInArrow(_ask(bits), _ASKED)
     answers = materialize(asked.groupBy("kind", "part").applyInArrow(_add_up(bits), _ASKED))

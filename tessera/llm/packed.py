@@ -2,15 +2,16 @@
 
 A shuffle of n-grams as rows costs about 30 bytes each. Here each chunk sends
 one row to each range of keys, with the keys' differences and their values by
-bytes of equal weight: the upper bytes are nearly all zero and vanish when the
-shuffle is compressed.
+bytes of equal weight and compressed.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 _U64 = np.uint64
 
@@ -22,22 +23,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
+#: What is shorter isn't compressed.
+_SHORT = 128
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Integers from 0: a byte with the width of the largest in bytes, then all lowest bytes, all second ones and so on."""
+    """Integers from 0: the width of the largest in bytes, the length of what follows, and all lowest bytes, all second ones and so on.
+
+    Zstandard codes planes of skewed values in a few bits, which the shuffle's own compression can't.
+    """
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    short = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) >= _SHORT else raw
+    return struct.pack("<BI", width, len(short)) + short
 
 
 def from_planes(data: bytes, n: int, columns: int) -> list[np.ndarray]:
     """``columns`` arrays of ``n`` integers that ``planes`` made, one after the other."""
     out, at = [], 0
     for _ in range(columns):
-        width = data[at]
+        width, size = struct.unpack_from("<BI", data, at)
+        raw = data[at + 5 : at + 5 + size]
+        if width * n >= _SHORT:
+            raw = pa.decompress(raw, width * n, codec="zstd", asbytes=True)
         cells = np.zeros((n, 8), np.uint8)
         if width:
-            cells[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
+            cells[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
         out.append(cells.view("<u8").ravel())
-        at += 1 + width * n
+        at += 5 + size
     return out
 
 

@@ -45,7 +45,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target are all documents labelled as of good quality, the background all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    # written, so that its size is known: it is broadcast if that is within Spark's bound
+    good = materialize(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct())
     found = lm.score(docs.join(good, "doc_id", "left"), F.col("good"))
     return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 

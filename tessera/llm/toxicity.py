@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the embeddings of itself and its character
-n-grams (hashed to buckets); a text's vector is the mean over its words; a
+n-grams (hashed to buckets), each shrunk by how few fitted rows have it; a text's vector is the mean over its words; a
 linear softmax over it gives the probability. Misspellings that were never seen
 share n-grams with words that were.
 """
@@ -17,17 +17,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, map_batches
+from .common import bounded_sample, map_batches, picked, struct_of
 
 _WORD = re.compile(r"[^\W_]+")
 #: Subwords: n-grams of these lengths of the word between < and >, and the whole.
 LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIM = 8
-#: At most so many labelled rows of either class are fitted; the rows whose ids hash lowest.
-MAX_FIT_ROWS = 3000
-#: Buckets that fewer fitted rows have keep the embedding 0, or they would learn rows by heart.
-LEAST_ROWS = 10
+#: At most so many labelled rows of either class are fitted, and so many bytes of their texts: those whose ids and
+#: texts hash lowest.
+MAX_FIT_ROWS, MAX_FIT_BYTES = 3000, 64 << 20
+#: A subword that r fitted rows have counts r / (r + FEW_ROWS) times, or rare ones would learn rows by heart.
+FEW_ROWS = 10
 #: Words whose scores a task remembers, besides what the model knows.
 _MEMORY = 300_000
 
@@ -105,10 +106,8 @@ def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: i
     rows_with = np.zeros(BUCKETS, np.int32)
     for ids, _ in docs:
         rows_with[np.unique(np.concatenate([flat[start_of[i] : start_of[i + 1]] for i in ids.tolist()]))] += 1
-    used = rows_with >= LEAST_ROWS
-    keep = used[flat]
-    none = np.flatnonzero(np.bincount(owner[keep], minlength=len(known)) == 0)  # words without a fitted subword get the last bucket, which stays 0
-    owner, flat = np.concatenate([owner[keep], none]), np.concatenate([flat[keep], np.full(len(none), BUCKETS, np.int32)])
+    used = rows_with > 0
+    shrunk = np.append(rows_with / (rows_with + FEW_ROWS), 0).astype(np.float32)
     order = np.argsort(owner, kind="stable")
     flat, lengths = flat[order], np.bincount(owner, minlength=len(known))
     begin = np.concatenate([[0], np.cumsum(lengths)])
@@ -133,7 +132,7 @@ def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: i
             which = np.repeat(begin[vocab] - per_word[:-1], lengths[vocab]) + np.arange(per_word[-1])
             buckets = flat[which]
             size = lengths[vocab][:, None].astype(np.float32)
-            vectors = _sums(emb[buckets], per_word) / size
+            vectors = _sums(emb[buckets] * shrunk[buckets, None], per_word) / size
             means = _sums(vectors[local] * share[:, None], per_doc)
             logits = means @ out + bias
             logits -= logits.max(axis=1, keepdims=True)
@@ -144,7 +143,7 @@ def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: i
             wrong *= (weight[rows] / len(rows))[:, None].astype(np.float32)
             d_means = wrong @ out.T
             d_words = np.stack([np.bincount(local, weights=share * np.repeat(d_means[:, d], np.diff(per_doc)), minlength=len(vocab)) for d in range(DIM)], axis=1) / size
-            spread = np.repeat(d_words, lengths[vocab], axis=0)
+            spread = np.repeat(d_words, lengths[vocab], axis=0) * shrunk[buckets, None]
             d_emb = np.stack([np.bincount(buckets, weights=spread[:, d], minlength=BUCKETS + 1) for d in range(DIM)], axis=1).astype(np.float32)
             d_emb[-1] = 0
             step += 1
@@ -156,7 +155,7 @@ def fit(texts: list[str], labels: np.ndarray, row_weights: np.ndarray, epochs: i
                 p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             emb *= 1 - lr * decay
             out *= 1 - lr * decay
-    return Model((emb[:-1] @ (out[:, 1] - out[:, 0])).astype(np.float32), used, float(bias[1] - bias[0]))
+    return Model((emb[:-1] @ (out[:, 1] - out[:, 0]) * shrunk[:-1]).astype(np.float32), used, float(bias[1] - bias[0]))
 
 
 class Scorer:
@@ -201,16 +200,18 @@ class Scorer:
 def sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of up to ``most`` rows of either label, those whose ids hash lowest.
 
-    The ids are chosen from ``labels`` before any text is read; weights restore
-    the labels' shares. Labels whose documents are missing don't come back.
+    The ids are chosen from ``labels`` before any text is read, and of the
+    documents that have them again at most ``most``, as ids may repeat. Weights
+    restore the labels' shares. Labels whose documents are missing don't come back.
     """
-    chosen = lowest_hashes(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")), "y", "__id", most)
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))  # at most 2 * most ids
-    got = sorted(rows.select("__h", "y", "text", "__n").collect(), key=lambda r: (r["__h"], r["y"], r["text"] or ""))
+    marked = picked(labels, __id=id_col, y=label_col).where(F.col("y").isin(0, 1)).withColumn("y", F.col("y").cast("int"))
+    ids = bounded_sample(marked, "y", ["__id"], most, 2).select("__id", "y", F.col("__n").alias("__all"))
+    rows = picked(docs, __id=id_col, text=text_col).join(F.broadcast(ids), "__id").withColumn("__size", F.octet_length("text"))  # at most 2 * most ids
+    chosen = bounded_sample(rows, "y", ["__id", "text"], most, 2, "__size", MAX_FIT_BYTES)
+    got = sorted(chosen.select("__h", "y", "text", "__all").collect(), key=lambda r: (r["__h"], r["y"], r["text"] or ""))
     y = np.array([r["y"] for r in got], np.int64)
     sizes = np.bincount(y, minlength=2)
-    return [r["text"] or "" for r in got], y, np.array([r["__n"] / sizes[r["y"]] for r in got], float)
+    return [r["text"] or "" for r in got], y, np.array([r["__all"] / sizes[r["y"]] for r in got], float)
 
 
 def train(labels: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_FIT_ROWS) -> Model:
@@ -222,15 +223,18 @@ def train(labels: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, score and predicted for every input row; other columns are not read."""
+    """``id_col``, score and predicted for every input row; other columns are not read.
+
+    Texts that are null or have no words get the share of toxic rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.used, model.bias))  # BUCKETS floats and flags
     scorers: list[Scorer] = []
+    rows = picked(docs, __id=id_col, text=text_col)
 
     def run(batch):
         if not scorers:
             scorers.append(Scorer(Model(*shared.value)))
         p = list(scorers[0].texts(batch.column(1).to_pylist()))
-        return {id_col: batch.column(0), "score": p, "predicted": [int(x >= 0.5) for x in p]}
+        return {"__id": batch.column(0), "score": p, "predicted": [int(x >= 0.5) for x in p]}
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
-    return map_batches(docs.select(id_col, text_col), schema, run)
+    return map_batches(rows, struct_of(__id=rows.schema["__id"].dataType, score="double", predicted="int"), run).withColumnRenamed("__id", id_col)

@@ -1,12 +1,16 @@
 import random
+import re
 import struct
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from brute import WORD, repeated_words
+from pyspark.sql import functions as F
 
 from tessera.llm import langid, media, quality, toxicity, urls
+from tessera.llm.common import bounded_sample
 from tessera.llm.queries import op2_toxicity, op3_media, op5_urls, op9_quality, op10_langid
 
 # -- media
@@ -144,17 +148,82 @@ def test_language_query(spark, sf):
 def test_words_first_then_shorter_grams():
     scores = np.log(np.array([[0.9, 0.1], [0.1, 0.9], [0.2, 0.8]], np.float32))
     known = langid.Identifier(["de", "en"], {"haus": 0}, {5: {}, 4: {"<hou": 1}, 3: {"use": 2}, 2: {}, 1: {}}, scores)
-    assert known("Haus")[0] == "de" and known("house")[0] == "en"
+    assert [x[0] for x in known(["Haus", "house"])] == ["de", "en"]
     assert np.array_equal(known.unseen("house"), scores[1]) and np.array_equal(known.unseen("muse"), scores[2]) and not known.unseen("q").any()
-    assert known("") == known(None) == known("12 ²!") == ("und", 0.0)
+    assert known(["", None, "12 ²!", "__"]) == [("und", 0.0)] * 4
+
+
+def direct_languages(rows, texts):
+    """Fitted on all ``rows`` (text, lang) in plain Python; language and score of each text."""
+    split = lambda t: [w for w in re.findall(r"[^\W\d_]+", t.lower()) if any(c.isalpha() for c in w)]
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for w in split(text):
+            for n in (0, 5, 4, 3, 2, 1):
+                marked = f"<{w}>" if n > 1 else w
+                for g in [w] if n == 0 else [marked[i : i + n] for i in range(len(marked) - n + 1)]:
+                    counts[n, lang][g] += 1
+    langs = sorted({lang for _, lang in rows})
+    kinds = {n: sum(len(counts[n, x]) for x in langs) for n in range(6)}
+    total = lambda n, g: sum(counts[n, x][g] for x in langs)
+    log = lambda n, g: np.array([np.log((counts[n, x][g] + 0.1) / (sum(counts[n, x].values()) + 0.1 * kinds[n])) for x in langs])
+
+    def word(w):
+        if total(0, w) >= 2:
+            return log(0, w)
+        for n in (5, 4, 3, 2, 1):
+            marked = f"<{w}>" if n > 1 else w
+            found = [log(n, g) for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if total(n, g) >= 2]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for t in texts:
+        words = split(t or "")
+        s = sum(map(word, words)) if words else None
+        out.append(("und", 0.0) if s is None else (langs[int(np.argmax(s))], 1 / np.exp((s - s.max()) * min(1, 30 / len(words))).sum()))
+    return out
+
+
+def test_languages_match_direct_computation(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {"de": "der hund und das haus für über straße".split(), "en": "the dog and house for over street".split(), "fr": "le chien et la maison pour été".split()}
+    rows = [(k, " ".join(rng.choices(words[x], k=12)), x) for k, x in enumerate(["de", "en", "fr"] * 15)]
+    texts = [t for _, t, _ in rows] + ["hundehaus", "dogs x1 Straßen", "", None, "été 12", "q", "maisons, dog", "dog " * 40 + "hund " * 39]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = direct_languages([r[1:] for r in rows], texts)
+    for group, piece in ((200_000, 1 << 20), (3, 10)):
+        monkeypatch.setattr(langid, "_GROUP", group)
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(new, langid.train(docs)).collect()}
+        assert [got[k][0] for k in range(len(texts))] == [w[0] for w in want]
+        assert np.allclose([got[k][1] for k in range(len(texts))], [w[1] for w in want], atol=1e-4)
+
+
+def test_fitted_rows_are_bounded(spark):
+    """Equal and null ids don't widen the sample, and no group is ranked as a whole."""
+    ids = F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id")
+    rows = spark.range(20_000).select(ids, F.concat(F.lit("word "), F.col("id") % 5000).alias("text"), F.when(F.col("id") < 19_000, "en").otherwise("de").alias("lang"))
+    counted = lambda df: {r["lang"]: r["count"] for r in df.groupBy("lang").count().collect()}
+    assert counted(bounded_sample(rows, "lang", ["doc_id", "text"], 100, 5)) == {"en": 100, "de": 100}
+    assert counted(bounded_sample(rows, "lang", ["doc_id"], 100, 5)) == {"en": 2, "de": 2}
+    assert counted(bounded_sample(rows.withColumn("size", F.lit(10)), "lang", ["doc_id", "text"], 100, 5, "size", 640)) == {"en": 64, "de": 64}
+    assert counted(bounded_sample(rows.withColumn("size", F.lit(11)), "lang", ["doc_id", "text"], 100, 5, "size", 640)) == {}
+    sample = toxicity.sample(spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int"), rows, "doc_id", "text", "toxic", 50)
+    assert len(sample[0]) == 50 and set(sample[1]) == {1}
+    with pytest.raises(ValueError):
+        bounded_sample(rows, "lang", ["text"], 10, 1)
 
 
 def test_language_edge_cases(spark):
-    docs = spark.createDataFrame([(1, "the cat", "en", 1.0), (None, None, "en", 1.0), (2, "der hund", "de", 1.0), (3, "der " * 100_000, None, 1.0), (3, "...", None, 1.0)], "doc_id long, text string, lang string, score double")
+    docs = spark.createDataFrame([(1, "the cat the cat", "en", 1.0), (None, None, "en", 1.0), (2, "der hund der hund", "de", 1.0), (3, "der " * 100_000, None, 1.0), (3, "...", None, 1.0)], "doc_id long, text string, lang string, `a b.c` double")
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, langid.train(docs)).collect()]
     assert sorted(got, key=str) == sorted([(1, "en"), (None, "und"), (2, "de"), (3, "de"), (3, "und")], key=str)
     assert langid.identify(docs, langid.train(docs.limit(0))).where("lang_pred = 'und'").count() == 5
-    assert langid.least_total([(5, 1), (4, 2), (1, 9)], 3) == 4 and langid.least_total([(5, 4)], 3) == 1 << 62
+    one = langid.train(docs.where("lang = 'en'"))
+    assert one[0] == ["en"] and {r["score"] for r in langid.identify(docs, one).where("lang_pred = 'en'").collect()} == {1.0}
 
 
 def test_subwords_and_unseen_misspellings():
