@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from brute import WORD
+from pyspark.sql import functions as F
 
 from tessera.llm import packing, ranks
 from tessera.llm.mixing import first_words, mix, mixed_documents
@@ -74,7 +75,16 @@ def test_mix_edge_cases(spark):
     assert [r["__taken"] for r in mix(empty).collect()] == [0, 0]
     same = spark.createDataFrame([(1, "a b", "s")] * 4, schema)
     assert sum(r["__taken"] for r in mix(same).collect()) == 12
-    assert first_words(" a  b\tc ", 2) == " a  b"
+    texts = [(" a  b\tc ", 2, " a  b"), ("a b", 2, "a b"), ("a b ", 1, "a"), ("\n\na", 1, "\n\na"), ("a\u00a0b c", 1, "a\u00a0b"), ("x " * 60_000, 50_000, "x " * 49_999 + "x")]
+    got = spark.createDataFrame(texts, "t string, n int, want string").select(first_words(F.col("t"), F.col("n")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "source", "a b", "x.y", "__row", "__doc", "__size", "__taken", "__target", "__key", "size"]
+    docs = spark.createDataFrame([(k, "a b c", "s", *range(9)) for k in range(6)], names)
+    assert mixed_documents(docs).columns == names and mixed_documents(docs).count() == 9
+    assert set(mix(docs).columns) == {*names, "__source_size"} and sum(r["__taken"] for r in mix(docs).collect()) == 27
 
 
 def test_mix_query_keeps_every_row(spark, sf):
