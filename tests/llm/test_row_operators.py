@@ -24,6 +24,34 @@ def test_png_round_trip_with_all_filters():
             assert np.array_equal(media.png_decode(media.png_encode(img, filters=filters)), img)
 
 
+def direct_unfilter(filters, rows):
+    """One sample after the other, as the format defines the filters."""
+    out = np.zeros(rows.shape, int)
+    for y in range(rows.shape[0]):
+        for x in range(rows.shape[1]):
+            a, b = (out[y, x - 1] if x else 0), (out[y - 1, x] if y else 0)
+            c = out[y - 1, x - 1] if x and y else 0
+            p = a + b - c
+            guess = [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][filters[y]]
+            out[y, x] = (int(rows[y, x]) + int(guess)) % 256
+    return out
+
+
+def test_filters_are_undone_as_defined(monkeypatch):
+    rng = np.random.default_rng(2)
+    images = [(rng.integers(0, 5, n, dtype=np.uint8), rng.integers(0, 256, (n, 9), dtype=np.uint8)) for n in (1, 2, 13, 40, 13, 5)]
+    for stack in (1 << 21, 200):
+        monkeypatch.setattr(media, "_STACK", stack)
+        assert all(np.array_equal(got, direct_unfilter(*x)) for got, x in zip(media.unfilter(images), images))
+    with pytest.raises(ValueError):
+        media.unfilter([(np.array([5], np.uint8), images[0][1])])
+
+
+def test_stored_texts_use_all_filters(spark, sf):
+    stored = [r["media"] for r in media.media_columns(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    assert len(np.unique(np.concatenate([media.png_parse(x)[0] for x in stored]))) == 5
+
+
 def test_png_damage_is_found():
     data = media.png_encode(np.arange(64, dtype=np.uint8).reshape(1, 64))
     for at in range(len(data)):
@@ -53,6 +81,15 @@ def test_media_query(spark, sf):
         payload = data + bytes(-len(data) % 64)
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        img = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        stored = media.png_encode(img)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        # area means, by repeating each sample 32 times, and the cosine transform by its definition
+        even = np.repeat(img.astype(float), 32, axis=0).reshape(32, -1, 64).mean(axis=1).reshape(32, 32, 2).mean(axis=2)
+        at = np.arange(32) + 0.5
+        low = np.array([[(even * np.cos(np.pi * u * at / 32)[:, None] * np.cos(np.pi * v * at / 32)).sum() for v in range(8)] for u in range(8)]).round(6)
+        bits = (low > np.median(low)).ravel()
+        assert r["feature"] == f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
 
 
 def test_media_edge_cases(spark):
