@@ -10,18 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_with_hot, materialize
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: With more links than this, nodes that have more than this share of them are broadcast, not shuffled.
+MANY, HOT = 1_000_000, 1 / 1000
+
+
+def _with_least(e: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    return e.join(least.drop("n"), "u") if links <= MANY else join_with_hot(e, least, "u", "n", links * HOT)
+
+
+def _large_star(e: DataFrame, links: int) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both, least, links).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, links: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(e, least, links).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +47,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialize(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*ends).distinct())
     before = _sum(edges)
     while before[0]:
-        new = materialize(_small_star(_large_star(edges)))
+        new = materialize(_small_star(_large_star(edges, before[0]), before[0]))
         discard(edges)
         edges, after = new, _sum(new)
         if after == before:

@@ -8,13 +8,15 @@ from itertools import repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import by_position, join_with_hot, kind_of, map_batches, materialize, picked, struct_of
 from .components import components
 from .hamming import hamming_links
 
+#: A component or fingerprint is hot if it has more than this share of the rows; so there are 1 / HOT of them at most.
+HOT = 1 / 1000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -60,22 +62,27 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id_col`` and the fingerprint ``fp`` (as signed long) of every input row; null counts as empty."""
+    """__id, __hash (of the text) and the fingerprint ``fp`` (as signed long) of every input row; null counts as empty."""
+    rows = picked(docs, __id=id_col, __text=text_col).select("__id", F.xxhash64("__text").alias("__hash"), F.col("__text").cast("binary"))
 
     def run(batch):
-        fps = np.array([fingerprint(x or b"", shingle) for x in batch.column(1).to_pylist()], np.uint64)
-        return {id_col: batch.column(0), "fp": fps.view(np.int64)}
+        fps = np.array([fingerprint(x or b"", shingle) for x in batch.column(2).to_pylist()], np.uint64)
+        return {"__id": batch.column(0), "__hash": batch.column(1), "fp": fps.view(np.int64)}
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long"
-    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), schema, run)
+    return map_batches(rows, struct_of(__id=kind_of(rows, "__id"), __hash="long", fp="long"), run)
 
 
-def _grouped(fps: DataFrame, id_col: str) -> DataFrame:
-    """fp, component_id and root of every distinct fingerprint of ``fps``."""
-    units = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+def _grouped(fps: DataFrame, least: Column) -> tuple[DataFrame, int]:
+    """Every distinct fingerprint with n, its number of rows, and ``first``: the smallest ``least`` of its component; and the number of rows.
+
+    Components of many fingerprints are broadcast, as they are few.
+    """
+    units = materialize(fps.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
     roots = components(hamming_links(units))
-    joined = materialize(units.join(roots, units["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    return joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    joined = materialize(units.join(roots, units["fp"] == roots["id"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    sums = materialize(joined.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")))
+    rows, kinds = joined.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return join_with_hot(joined.select("fp", "n", "root"), sums, "root", "members", kinds * HOT).select("fp", "n", "first"), rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -83,22 +90,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One row per input row. Ids may be null or repeat: rows are grouped by
     fingerprint, and a component's id is its smallest that isn't null. An empty
-    table gives an empty result. Texts without words share fingerprint 0.
+    table gives an empty result. Texts without words share fingerprint 0. Other columns are not read.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    return fps.join(_grouped(fps, id_col).drop("root"), "fp").select(id_col, "fp", "component_id")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle).select("__id", "fp"))
+    groups, rows = _grouped(fps, F.col("__id"))
+    found = join_with_hot(fps, materialize(groups), "fp", "n", rows * HOT)
+    return found.select("__id", "fp", F.col("first").alias("component_id")).withColumnRenamed("__id", id_col)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: the smallest by id (null last), then by a hash of the text.
 
-    Of rows with equal id and text any one stays.
+    Of rows with equal id and text any one stays. What goes is settled on rows
+    without texts; columns may have any names.
     """
-    key = F.xxhash64(F.col(text_col))
-    keyed = docs.select(F.struct(F.col(id_col), key.alias("__doc")).alias("__key"), F.col(text_col))
-    fps = materialize(fingerprints(keyed, "__key", text_col, shingle).select(F.col("__key").getField(id_col).alias("__id"), F.col("__key.__doc").alias("__hash"), "fp"))
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__first_id"), F.col("__hash").alias("__first_hash"))
-    by_fp = fps.groupBy("fp").agg(F.min(place).alias("place"))
-    first = _grouped(fps, "__id").join(by_fp, "fp").groupBy("root").agg(F.min("place").alias("place")).select("place.*")
-    kept = docs.withColumn("__hash", key).join(first, F.col(id_col).eqNullSafe(F.col("__first_id")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).drop("__hash")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
+    place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
+    groups, _ = _grouped(fps, place)
+    kept = groups.select("first.*").select(F.col("__id").alias("kept_id"), F.col("__hash").alias("kept_hash")).distinct()
+    each = materialize(fps.groupBy("__id", "__hash").agg(F.count("*").alias("n")))
+    same = F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash"))
+    gone = materialize(each.join(kept, same, "left_anti").select("__id", "__hash"))
+    repeated = materialize(each.join(kept, same, "left_semi").where("n > 1").select("__id", "__hash"))
+    moved, names = by_position(docs)
+    at, key = F.col(f"c{names.index(id_col)}"), F.xxhash64(F.col(f"c{names.index(text_col)}"))
+
+    def has(rows: DataFrame) -> tuple[DataFrame, Column]:
+        return rows, at.eqNullSafe(F.col("__id")) & (key == F.col("__hash"))
+
+    left = moved.join(*has(gone), "left_anti")
+    if not repeated.isEmpty():
+        some = left.join(*has(repeated), "left_semi").withColumn("__hash", key).dropDuplicates([f"c{names.index(id_col)}", "__hash"]).drop("__hash")
+        left = left.join(*has(repeated), "left_anti").union(some)
+    return left.toDF(*names)
