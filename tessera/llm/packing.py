@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, picked
 from .mixing import word_count
 from .ranks import hash_key, running_total, span_of, spans_for
 
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_cost: floa
     most = max(capacities)
     if min(capacities) < 1 or most > MAX_CAPACITY:
         raise ValueError(f"capacities must be from 1 to {MAX_CAPACITY}")
-    rows = materialize(docs.select(F.col(id_col).alias("__id"), word_count(F.col(text_col)).alias("__size"), hash_key(F.col(id_col), F.col(text_col)).alias("__key")))
+    rows = materialize(picked(docs, __id=id_col, __text=text_col).select("__id", word_count(F.col("__text")).alias("__size"), hash_key(F.col("__id"), F.col("__text")).alias("__key")))
     last = F.greatest(F.floor((F.col("__size") - 1) / most), F.lit(0)).cast("int")
     pieces = rows.select("__id", "__key", "__size", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.withColumn("length", F.least(F.col("__size") - F.col("piece") * most, F.lit(most)).cast("int"))
@@ -191,10 +191,10 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_cost: floa
     nth = F.col("__rank") - F.col("__first")
     here = (ranked["length"] == plan["length"]) & nth.between(0, F.col("__n") - 1)
     found = ranked.join(F.broadcast(plan), here).select(
-        F.col("__id").alias(id_col), "piece", (F.col("piece").cast("long") * most).alias("start"), ranked["length"],
+        "__id", "piece", (F.col("piece").cast("long") * most).alias("start"), ranked["length"],
         (F.col("__bin") + F.floor(nth / F.col("__per"))).cast("long").alias("bin_id"), "capacity",
         (F.col("offset") + nth % F.col("__per") * ranked["length"]).cast("int").alias("offset"),
     )
     nothing = F.lit(None).cast("int")
-    empty = pieces.where("length = 0").select(F.col("__id").alias(id_col), "piece", F.lit(0).cast("long").alias("start"), "length", nothing.cast("long").alias("bin_id"), nothing.alias("capacity"), nothing.alias("offset"))
-    return found.union(empty)
+    empty = pieces.where("length = 0").select("__id", "piece", F.lit(0).cast("long").alias("start"), "length", nothing.cast("long").alias("bin_id"), nothing.alias("capacity"), nothing.alias("offset"))
+    return found.union(empty).withColumnRenamed("__id", id_col)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import kind_of, map_batches, materialize, picked, struct_of
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -70,12 +70,14 @@ def text_features(data: bytes) -> tuple:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` and FEATURES of the whole text; null counts as no words."""
 
+    rows = picked(docs, __id=id_col, __text=text_col).withColumn("__text", F.col("__text").cast("binary"))
+
     def run(batch):
-        rows = [text_features(x or b"") for x in batch.column(1).to_pylist()]
-        return {id_col: batch.column(0)} | dict(zip(FEATURES, zip(*rows)))
+        found = [text_features(x or b"") for x in batch.column(1).to_pylist()]
+        return {"__id": batch.column(0)} | dict(zip(FEATURES, zip(*found)))
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in FEATURES)
-    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), schema, run)
+    kinds = struct_of(__id=kind_of(rows, "__id"), **dict.fromkeys(FEATURES, "long"))
+    return map_batches(rows, kinds, run).withColumnRenamed("__id", id_col)
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import kind_of, map_batches, picked, struct_of
 
 #: Characters of a token: digits, a-z and whatever is not ASCII.
 _TOKEN_CHARS = "0-9a-z\u0080-\U0010ffff"
@@ -110,7 +110,7 @@ def token_counts(pages: DataFrame, url_col: str, tokens: set[str]) -> dict[str,
         found = Counter(t for u in batch.column(0).to_pylist() for t in url_tokens(*split_url(u)) & wanted)
         return {"token": list(found.keys()), "n": list(found.values())}
 
-    counted = map_batches(pages.select(url_col), "token string, n long", run).groupBy("token").agg(F.sum("n").alias("n"))
+    counted = map_batches(picked(pages, url=url_col), struct_of(token="string", n="long"), run).groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"]: r["n"] for r in counted.collect()}
 
 
@@ -137,7 +137,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = HOST_RULES + PATTER
             row = (host, path, r.name if r and r.explicit else None, r.name if r and not r.explicit else None, r.action if r else default)
             for k, v in zip(out, row):
                 out[k].append(v)
-        return {id_col: batch.column(0)} | out
+        return {"__id": batch.column(0)} | out
 
-    schema = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, host string, path string, rule string, pattern string, verdict string"
-    return map_batches(pages.select(id_col, url_col), schema, run)
+    rows = picked(pages, __id=id_col, __url=url_col)
+    kinds = struct_of(__id=kind_of(rows, "__id"), **dict.fromkeys(("host", "path", "rule", "pattern", "verdict"), "string"))
+    return map_batches(rows, kinds, run).withColumnRenamed("__id", id_col)
