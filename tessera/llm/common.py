@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes, in the end, the tables that ``materialize`` wrote meanwhile, but for those in the list that it gives."""
+    kept: list[DataFrame] = list(keep)
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        for df in _scopes.pop():
+            if not any(df is k for k in kept):
+                discard(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
@@ -38,6 +57,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
