@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,6 +177,43 @@ class ArrayCall(Expr):
         return replace(self, args=parts)
 
 
+@dataclass(frozen=True)
+class Loop(Expr):
+    """``outs`` take the place of the variables ``names``, which begin as ``inits``, while ``test`` holds. It has no column form."""
+
+    names: tuple[str, ...]
+    test: Expr
+    outs: tuple[Expr, ...]
+    inits: tuple[Expr, ...]
+
+    @property
+    def parts(self):
+        return (self.test, *self.outs, *self.inits)
+
+    def rebuilt(self, parts):
+        k = len(self.names)
+        return replace(self, test=parts[0], outs=parts[1 : k + 1], inits=parts[k + 1 :])
+
+
+@dataclass(frozen=True)
+class LoopItem(Expr):
+    """A variable's value after a loop."""
+
+    loop: Loop
+    place: int
+
+    @property
+    def parts(self):
+        return (self.loop,)
+
+    def rebuilt(self, parts):
+        return replace(self, loop=parts[0])
+
+
+def has_loop(e: Expr) -> bool:
+    return isinstance(e, Loop) or any(map(has_loop, e.parts))
+
+
 def op(name: str, *args: Expr) -> Expr:
     """A scalar operation, mapped over those arguments that are arrays."""
     arrays = [a for a in args if a.rank]
@@ -196,6 +234,10 @@ def cast(arg: Expr, to: str) -> Expr:
 # -- rewriting
 
 
+def variables(e: Expr) -> set[str]:
+    return {e.name} if isinstance(e, Var) else set().union(*map(variables, e.parts))
+
+
 def substitute(e: Expr, values: dict[str, Expr]) -> Expr:
     if isinstance(e, Var):
         return values.get(e.name, e)
@@ -266,6 +308,59 @@ def explain(e: Expr, indent: int = 0) -> str:
     return "\n".join(["  " * indent + label, *(explain(p, indent + 1) for p in e.parts)])
 
 
+# -- shared parts
+
+
+def _always(e: Expr, found: dict[Expr, None]) -> dict[Expr, None]:
+    """The scalar operations that are computed whatever the data, inner ones first."""
+    if isinstance(e, Op) and e.name == "select":
+        _always(e.args[0], found)
+        yes, no = (_always(a, {}) for a in e.args[1:])
+        found.update((x, None) for x in yes if x in no)
+    elif isinstance(e, Op) and e.name in ("and", "or"):
+        _always(e.args[0], found)
+    elif isinstance(e, (Op, Cast, Tuple)):
+        for p in e.parts:
+            _always(p, found)
+        if not isinstance(e, Tuple) and not e.rank:
+            found[e] = None
+    return found
+
+
+def _uses(e: Expr, wanted: dict[Expr, None], counts: dict[Expr, int]) -> None:
+    """How often each of ``wanted`` is named, if each is computed once."""
+    if e in wanted:
+        counts[e] = counts.get(e, 0) + 1
+        if counts[e] > 1:
+            return
+    for p in e.parts:
+        _uses(p, wanted, counts)
+
+
+def replaced(e: Expr, values: dict[Expr, Expr]) -> Expr:
+    """``e`` with whole parts replaced."""
+    if e in values:
+        return values[e]
+    return e.rebuilt(tuple(replaced(p, values) for p in e.parts)) if e.parts else e
+
+
+def shared(e: Expr) -> tuple[list[tuple[str, Expr]], Expr]:
+    """Names for the scalar operations that are used more than once and always computed, in order of use, and ``e`` by these names.
+
+    What only a branch computes stays there: it may fail on other data.
+    """
+    always = _always(e, {})
+    counts: dict[Expr, int] = {}
+    _uses(e, always, counts)
+    out, values = [], {}
+    for part in always:
+        if counts.get(part, 0) > 1 and any(not isinstance(p, Const) for p in part.parts):
+            name = fresh("shared")
+            out.append((name, replaced(part, values)))
+            values[part] = Var(name)
+    return out, replaced(e, values)
+
+
 # -- Spark columns
 
 
@@ -311,6 +406,7 @@ SCALAR: dict[str, Callable[..., Column]] = {
     "lte": _ordered(lambda a, b: a <= b),
     "gt": _ordered(lambda a, b: a > b),
     "gte": _ordered(lambda a, b: a >= b),
+    "hypot": F.hypot,
     "neg": lambda a: -a,
     "sqrt": F.sqrt,
     "sign": F.signum,
@@ -332,7 +428,7 @@ SCALAR: dict[str, Callable[..., Column]] = {
     "log10": _log(F.log10),
     "select": lambda c, a, b: F.when(c, a).otherwise(b),
 }
-ARITY = {"select": 3} | {n: 2 for n in ("add", "sub", "mult", "truediv", "div", "intdiv", "safediv", "floordiv", "mod", "pymod", "pow", "min", "max", "and", "or", "eq", "neq", "lt", "lte", "gt", "gte")}
+ARITY = {"select": 3} | {n: 2 for n in ("add", "sub", "mult", "truediv", "div", "intdiv", "safediv", "floordiv", "mod", "pymod", "pow", "hypot", "min", "max", "and", "or", "eq", "neq", "lt", "lte", "gt", "gte")}
 
 
 def _zipped(arrays: list[Column], f: Callable[..., Column]) -> Column:
@@ -430,3 +526,59 @@ _ARRAY: dict[str, Callable[..., Column]] = {
     "all": lambda a: F.forall(a, lambda x: x),
     "any": lambda a: F.exists(a, lambda x: x),
 }
+
+
+# -- NumPy, for what has no column form
+
+NUMPY: dict[str, Callable] = {
+    "add": np.add, "sub": np.subtract, "mult": np.multiply, "truediv": np.true_divide, "div": np.true_divide, "intdiv": lambda a, b: np.trunc(a / b).astype(np.int64), "safediv": lambda a, b: -((-a) // b),
+    "floordiv": np.floor_divide, "mod": np.fmod, "pymod": np.mod, "pow": lambda a, b: np.power(np.asarray(a, float), b), "hypot": np.hypot, "min": np.minimum, "max": np.maximum, "and": np.logical_and, "or": np.logical_or, "not": np.logical_not,
+    "eq": np.equal, "neq": np.not_equal, "lt": np.less, "lte": np.less_equal, "gt": np.greater, "gte": np.greater_equal, "neg": np.negative, "sqrt": np.sqrt, "sign": np.sign, "reciprocal": lambda a: 1.0 / a, "abs": np.abs,
+    "ceil": np.ceil, "floor": np.floor, "round": np.rint, "exp": np.exp, "exp2": np.exp2, "sin": np.sin, "cos": np.cos, "tan": np.tan, "sinh": np.sinh, "cosh": np.cosh, "tanh": np.tanh, "log": np.log, "log2": np.log2, "log10": np.log10, "select": np.where,
+}
+_NUMPY_CASTS = {"int": np.int32, "double": np.float64, "boolean": np.bool_, "tinyint": np.int8, "smallint": np.int16, "bigint": np.int64, "float": np.float32}
+
+
+def evaluate(e: Expr, env: dict[str, np.ndarray], n: int):
+    """``e`` for ``n`` elements at once; a loop goes on with those elements whose test holds."""
+    done: dict[int, object] = {}
+
+    def go(x: Expr):
+        if id(x) not in done:
+            done[id(x)] = one(x)
+        return done[id(x)]
+
+    def one(x: Expr):
+        if isinstance(x, Const):
+            return x.value
+        if isinstance(x, Var):
+            return env[x.name]
+        if isinstance(x, Op):
+            return NUMPY[x.name](*map(go, x.args))
+        if isinstance(x, Cast):
+            return np.asarray(go(x.arg)).astype(_NUMPY_CASTS[x.to])
+        if isinstance(x, Tuple):
+            return tuple(map(go, x.items))
+        if isinstance(x, Loop):
+            return _run_loop(x, [go(i) for i in x.inits], env, n)
+        if isinstance(x, LoopItem):
+            return go(x.loop)[x.place]
+        raise TypeError(f"{type(x).__name__} over arrays")
+
+    return go(e)
+
+
+def _run_loop(x: Loop, inits: list, env: dict[str, np.ndarray], n: int) -> list[np.ndarray]:
+    given = [*env.values(), *inits]
+    kind = np.float64 if any(np.asarray(v).dtype.kind == "f" for v in given) else np.int64
+    state = [np.broadcast_to(np.asarray(v), n).astype(bool if np.asarray(v).dtype.kind == "b" else kind) for v in inits]
+    at = np.arange(n)
+    while True:
+        here = {k: np.asarray(v)[at] if np.ndim(v) else v for k, v in env.items()} | {k: v[at] for k, v in zip(x.names, state)}
+        holds = np.broadcast_to(evaluate(x.test, here, len(at)), len(at))
+        at, here = at[holds], {k: v[holds] if np.ndim(v) else v for k, v in here.items()}
+        if not len(at):
+            return state
+        new = [np.broadcast_to(evaluate(o, here, len(at)), len(at)) for o in x.outs]
+        for v, o in zip(state, new):
+            v[at] = o

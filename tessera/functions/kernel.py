@@ -83,7 +83,7 @@ _SCALAR: dict[object, str] = {
     np.negative: "neg", np.sqrt: "sqrt", np.sign: "sign", np.reciprocal: "reciprocal", np.abs: "abs", np.absolute: "abs", np.ceil: "ceil", np.floor: "floor", np.rint: "round", np.exp: "exp", np.exp2: "exp2",
     np.sin: "sin", np.cos: "cos", np.tan: "tan", np.sinh: "sinh", np.cosh: "cosh", np.tanh: "tanh", np.log: "log", np.log2: "log2", np.log10: "log10", np.where: "select",
     math.sqrt: "sqrt", math.exp: "exp", math.log: "log", math.pow: "pow", math.sin: "sin", math.cos: "cos", math.tan: "tan", math.sinh: "sinh", math.cosh: "cosh", math.tanh: "tanh",
-    math.log2: "log2", math.log10: "log10", math.ceil: "ceil", math.floor: "floor", math.fabs: "abs", abs: "abs",
+    math.log2: "log2", math.log10: "log10", math.ceil: "ceil", math.floor: "floor", math.fabs: "abs", abs: "abs", math.hypot: "hypot", np.hypot: "hypot",
 }
 _NAMED: dict[str, Callable] = {}
 
@@ -214,7 +214,8 @@ class Compiler:
                 for _ in range(MAX_UNROLLED):
                     test = ir.fold(_as_expr(self.expr(s.test, env)))
                     if not isinstance(test, Const):
-                        raise KernelError("a loop whose end depends on the data")
+                        self.loop(s, env)
+                        break
                     if not test.value:
                         break
                     self.block(s.body, env)
@@ -233,6 +234,20 @@ class Compiler:
                 raise KernelError(f"{type(s).__name__} statement")
         return None
 
+    def loop(self, s: ast.While, env: dict) -> None:
+        """A loop whose end depends on the data: its variables become those of an expression that is run over arrays."""
+        stored = [n.id for x in s.body for n in ast.walk(x) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)]
+        names = [n for n in dict.fromkeys(stored) if n in env]
+        inits = tuple(_as_expr(env[n]) for n in names)
+        if any(i.rank or isinstance(i, ir.Tuple) for i in inits):
+            raise KernelError("a loop over arrays whose end depends on the data")
+        variables = tuple(ir.fresh("loop") for _ in names)
+        inside = env | {n: Var(v) for n, v in zip(names, variables)}
+        test = _as_expr(self.expr(s.test, inside))
+        self.block(s.body, inside)
+        found = ir.Loop(variables, test, tuple(_as_expr(inside[n]) for n in names), inits)
+        env.update((n, ir.LoopItem(found, k)) for k, n in enumerate(names))
+
     def host(self, node: ast.expr, env: dict) -> range:
         """A range whose bounds are known."""
         if isinstance(node, ast.Call) and self.resolve(node.func, env) is range:

@@ -24,6 +24,8 @@ from .tensor import Tensor
 MONOIDS: dict[str, Callable[[Column], Column]] = {"add": F.sum, "mult": F.product, "min": F.min, "max": F.max, "and": F.bool_and, "or": F.bool_or}
 #: Positions that one task scans in order, if a scan has no other axis to split it by.
 SCAN_BLOCK = 1 << 16
+#: Accumulators that a partition's fold keeps at once, if its payload compiles.
+FOLD_LANES = 256
 
 
 def _normal_axis(axis, rank: int) -> int | None:
@@ -42,12 +44,43 @@ def _normal_axis(axis, rank: int) -> int | None:
 
 # -- bringing tensors onto one frame
 
+#: Attribute of a frame that is another one with more columns: that one.
+_BASE = "_tessera_base"
+
+
+def _with_columns(frame: DataFrame, columns: Sequence[tuple[str, Column]]) -> DataFrame:
+    """``frame`` with more columns, each of which may use those before it; Spark computes what is used twice once."""
+    out = frame
+    for name, column in columns:
+        out = out.withColumn(name, column)
+    if columns:
+        setattr(out, _BASE, frame)
+    return out
+
+
+def _bases(frame: DataFrame | None) -> list[DataFrame]:
+    found = []
+    while frame is not None:
+        found.append(frame)
+        frame = getattr(frame, _BASE, None)
+    return found
+
+
+def _on_one(xs: Sequence[Tensor]) -> list[Tensor] | None:
+    """The same tensors over the one of their frames that has the columns of all, if there is one."""
+    if any(x.index != xs[0].index for x in xs):
+        return None
+    for top in xs:
+        bases = _bases(top.frame)
+        if all(any(x.frame is b for b in bases) for x in xs):
+            return [x if x.frame is top.frame else Tensor(top.frame, x.index, x.column, x.inner, x._shape) for x in xs]
+    return None
+
 
 def align(xs: Sequence[Tensor], rows: bool = False) -> list[Tensor]:
     """The same tensors over one frame; of different ranks, trailing axes are matched. With ``rows`` only the index columns are."""
-    first = xs[0]
-    if all(x.frame is first.frame and x.index == first.index for x in xs):
-        return list(xs)
+    if (same := _on_one(xs)) is not None:
+        return same
     if not rows and len({x.inner for x in xs if x.rank}) > 1:
         xs = [x.long() for x in xs]
     if any(x.index is None for x in xs):
@@ -113,6 +146,8 @@ def map(f: Callable, *xs, fixed: Sequence = (), axis=None, dtype: types.ElementT
         raise TypeError("map needs a tensor")
     top = max(t.rank for t in tensors)
     axis = _normal_axis(axis, top)
+    if axis is not None and top > 2:
+        return _map_slices(f, xs, axis, fixed, kwargs)
     along = axis is not None and top == 2
     if along:
         tensors = [t.rows(axis) if t.rank == 2 else t for t in tensors]
@@ -132,6 +167,19 @@ def map(f: Callable, *xs, fixed: Sequence = (), axis=None, dtype: types.ElementT
             raise
         return base.with_column(_arrow(f, xs, tensors, kwargs, dtype))
 
+    if ir.has_loop(body):
+        if arrays or closure:
+            raise KernelError("a loop whose end depends on the data takes elements only")
+        looped = tuple(base.with_column(_looped(e, names, tensors, dtype)) for e in (body.items if isinstance(body, ir.Tuple) else (body,)))
+        return looped if isinstance(body, ir.Tuple) else looped[0]
+    if along or not arrays:
+        parts, body = ir.shared(body)
+        columns = []
+        for name, part in parts:
+            columns.append((name, ir.to_column(part, env)))
+            env[name] = F.col(name)
+        base = Tensor(_with_columns(base.frame, columns), base.index, base.column, base.inner, base._shape)
+
     def result(e: ir.Expr) -> Tensor:
         if along or not arrays:
             return base.with_column(ir.to_column(e, env), e.rank)
@@ -142,6 +190,64 @@ def map(f: Callable, *xs, fixed: Sequence = (), axis=None, dtype: types.ElementT
     return tuple(result(e) for e in body.items) if isinstance(body, ir.Tuple) else result(body)
 
 
+#: What a payload may do with a slice of several axes: these go over all its elements, row by row.
+_OVER_ALL = ("min", "max", "argmin", "argmax", "all", "any")
+
+
+def _over_all(e: ir.Expr) -> bool:
+    if isinstance(e, (ir.ArrayCall, ir.ArrayScan, ir.ArrayFilter)) and getattr(e, "name", "") not in _OVER_ALL:
+        return False
+    return all(_over_all(p) for p in e.parts)
+
+
+def _map_slices(f: Callable, xs: Sequence, axis: int, fixed: Sequence, kwargs: dict):
+    """``map`` along an axis of tensors of more than two axes, all of one shape.
+
+    ``f`` may work on the elements of a slice and fold them all; what depends
+    on a slice's own axes, as an index does, is refused. A slice must fit in memory.
+    """
+    tensors = [x.long() for x in xs if isinstance(x, Tensor)]
+    rank = tensors[0].rank
+    if any(t.rank != rank for t in tensors):
+        raise ValueError("a map along an axis of more than two axes takes tensors of the same rank and scalars")
+    tensors = align(tensors)
+    index = tensors[0]._positions()
+    others = [c for k, c in enumerate(index) if k != axis]
+    names = [f"x{k}" for k in range(len(tensors))]
+    items = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"j{k}") for k, c in enumerate(others)), *(t.column.alias(n) for n, t in zip(names, tensors)))))
+    slices = Tensor(tensors[0].frame.groupBy(F.col(index[axis]).alias("i0")).agg(items.alias("items")), ("i0",), F.col("items"), 1)
+    (slices,), closure, env = _with_fixed([slices], fixed)
+    env |= {n: F.col(f"items.{n}") for n in names}
+    at = iter(names)
+    body = compile_kernel(f, [*closure, *(ir.Var(next(at), 1) if isinstance(x, Tensor) else x for x in xs)], kwargs)
+    if not _over_all(body):
+        raise ValueError("the payload depends on the axes of a slice")
+    results = []
+    for e in body.items if isinstance(body, ir.Tuple) else (body,):
+        if not e.rank:
+            results.append(slices.with_column(ir.to_column(e, env), 0))
+            continue
+        places = F.transform(F.col("items"), lambda r: F.struct(*(r.getField(f"j{k}").alias(f"j{k}") for k in range(len(others)))))
+        frame = slices.frame.select("i0", F.explode(F.arrays_zip(places.alias("at"), ir.to_column(e, env).alias("v"))).alias("cell"))
+        moved = iter(range(len(others)))
+        columns = [F.col("i0").alias(f"k{k}") if k == axis else F.col(f"cell.at.j{next(moved)}").alias(f"k{k}") for k in range(rank)]
+        results.append(Tensor(frame.select(*columns, F.col("cell.v").alias("v")), [f"k{k}" for k in range(rank)], F.col("v"), 0, tensors[0]._shape))
+    return tuple(results) if isinstance(body, ir.Tuple) else results[0]
+
+
+def _looped(e: ir.Expr, names: Sequence[str], tensors: Sequence[Tensor], dtype: types.ElementType) -> Column:
+    """An expression without a column form, for batches of elements at once."""
+
+    def run(*series: pd.Series) -> pd.Series:
+        n = len(series[0])
+        with np.errstate(all="ignore"):
+            found = ir.evaluate(e, {k: x.to_numpy() for k, x in zip(names, series)}, n)
+        return pd.Series(np.broadcast_to(found, n).astype(dtype.numpy))
+
+    run.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, dtype.spark)(*(t.column for t in tensors))
+
+
 def _arrow(f: Callable, xs: Sequence, tensors: Sequence[Tensor], kwargs: dict, dtype: types.ElementType) -> Column:
     """``f`` applied to batches of elements."""
     plain = f.f if isinstance(f, Kernel) else f
@@ -211,6 +317,8 @@ def reduce(f: Callable, *xs: Tensor, axis=None, init=None, fixed: Sequence = (),
         body = compile_kernel(f, [ir.Var(acc), ir.Var(item)])
         start = None if init is None else ir.Const(init)
         return rows.with_column(ir.to_column(ir.ArrayReduce(acc, item, body, ir.Var("x", 1), start), {"x": rows.column}), 0)
+    if isinstance(init, tuple) and (names := _independent(f, len(xs), init, fixed)):
+        return _reduce_independent(names, [t.long() for t in align(xs)], init)
     if combine is not None:
         return _reduce_partitions(f, [t.long() for t in align(xs)], init, fixed, combine)
     return _reduce_ordered(f, [t.long() for t in xs], init, fixed)
@@ -240,6 +348,40 @@ def _reduce_monoid(name: str, x: Tensor, axis: int | None, init) -> Tensor:
     return Tensor(frame, [f"i{k}" for k in range(len(keep))], F.col("v"))
 
 
+def _independent(f: Callable, n: int, init: tuple, fixed: Sequence) -> list[tuple[str, ir.Expr]] | None:
+    """For each accumulator its aggregate and what of the elements it takes, if each is a known fold of its own."""
+    if fixed:
+        return None
+    accs, elements = [ir.Var(f"acc{k}") for k in range(len(init))], [ir.Var(f"e{k}") for k in range(n)]
+    try:
+        body = compile_kernel(f, [*accs, *elements])
+    except (KernelError, TypeError):
+        return None
+    if not isinstance(body, ir.Tuple) or len(body.items) != len(init):
+        return None
+    out = []
+    for acc, e in zip(accs, body.items):
+        if not isinstance(e, ir.Op) or e.name not in MONOIDS or acc not in e.args:
+            return None
+        (value,) = [a for k, a in enumerate(e.args) if k != e.args.index(acc)]
+        if any(a.name in ir.variables(value) for a in accs):
+            return None
+        out.append((e.name, value))
+    return out
+
+
+def _reduce_independent(folds: list[tuple[str, ir.Expr]], xs: Sequence[Tensor], init: tuple):
+    """Several known folds in one aggregation."""
+    env = {f"e{k}": x.column for k, x in enumerate(xs)}
+    columns = []
+    for k, ((name, value), start) in enumerate(zip(folds, init)):
+        kind = "boolean" if isinstance(start, bool) else "bigint" if isinstance(start, (int, np.integer)) and not any(x.dtype.is_float for x in xs) else "double"
+        folded = _aggregate(name, ir.to_column(value, env).cast(kind), kind == "bigint")
+        columns.append(F.coalesce(ir.SCALAR[name](F.lit(start).cast(kind), folded), F.lit(start).cast(kind)).alias(f"acc{k}"))
+    frame = xs[0].frame.agg(*columns)
+    return tuple(Tensor(frame, (), F.col(f"acc{k}"), 0, ()) for k in range(len(init)))
+
+
 def _reduce_ordered(f: Callable, xs: Sequence[Tensor], init, fixed: Sequence):
     """One row holds the elements in order of position; for folds that nothing else is known of."""
     xs = align(xs)
@@ -299,7 +441,35 @@ def _reduce_partitions(f: Callable, xs: Sequence[Tensor], init, fixed: Sequence,
     def as_tuple(v) -> tuple:
         return tuple(v) if many else (v,)
 
+    names = [f"acc{k}" for k in range(len(starts))], [f"e{k}" for k in range(len(xs))]
+    try:
+        body = compile_kernel(f, [*closure, *(ir.Var(k) for part in names for k in part)])
+        bodies = body.items if isinstance(body, ir.Tuple) else (body,)
+    except (KernelError, TypeError):
+        bodies = None
+
+    def lanes(batch: pd.DataFrame, accs: list[np.ndarray]) -> list[np.ndarray]:
+        """Folds of a batch in as many lanes, which ``combine`` merges in the end."""
+        columns = [batch[c].to_numpy() for c in batch.columns]
+        for at in range(0, len(batch), FOLD_LANES):
+            n = min(FOLD_LANES, len(batch) - at)
+            env = {k: a[:n] for k, a in zip(names[0], accs)} | {k: c[at : at + n] for k, c in zip(names[1], columns)}
+            with np.errstate(all="ignore"):
+                new = [np.broadcast_to(ir.evaluate(e, env, n), n) for e in bodies]
+            accs = [np.concatenate([v.astype(a.dtype), a[n:]]) for v, a in zip(new, accs)]
+        return accs
+
     def fold(batches):
+        if bodies is not None:
+            accs = [np.full(FOLD_LANES, v, {"double": float, "boolean": bool, "bigint": np.int64}[k]) for v, k in zip(starts, kinds)]
+            for b in batches:
+                accs = lanes(b, accs)
+            rows = zip(*(a.tolist() for a in accs))
+            total = next(rows)
+            for row in rows:
+                total = as_tuple(merge(*total, *row))
+            yield packed(total)
+            return
         accs, seen = starts, False
         for b in batches:
             for row in b.itertuples(index=False):
@@ -323,8 +493,68 @@ def _reduce_partitions(f: Callable, xs: Sequence[Tensor], init, fixed: Sequence,
 # -- scan
 
 
-def scan(f: Callable, x: Tensor, axis=None, init=None):
-    """Running results of the fold, inclusive: as many as elements. ``init`` goes before the first."""
+def scan(f: Callable, *xs: Tensor, axis=None, init=None, fixed: Sequence = ()):
+    """Running results of the fold, inclusive: as many as elements. ``init`` goes before the first.
+
+    Several tensors, ``fixed`` arguments or a tuple of initial values are as in
+    ``reduce``: ``f(*fixed, *accumulators, *elements)``, a tensor for each accumulator.
+    """
+    if len(xs) > 1 or fixed or isinstance(init, tuple):
+        return _scan_many(f, [x.long() for x in xs], axis, init, fixed)
+    return _scan_one(f, xs[0], axis, init)
+
+
+def _scan_many(f: Callable, xs: Sequence[Tensor], axis, init, fixed: Sequence):
+    """Scans in order of position: one row holds the elements that are scanned together, those along ``axis``."""
+    xs = align(xs)
+    rank = len(xs[0]._positions())
+    axis = _normal_axis(0 if axis is None else axis, rank)
+    axis = 0 if axis is None else axis
+    many = isinstance(init, tuple)
+    if init is None and len(xs) > 1:
+        raise ValueError("several tensors need initial values")
+    if many and (folds := _independent(f, len(xs), init, fixed)):
+        env = {f"e{k}": x.column for k, x in enumerate(xs)}
+        return tuple(_scan_one(named(name), xs[0].with_column(ir.to_column(value, env), 0), axis, start) for (name, value), start in zip(folds, init))
+    xs, closure, env = _with_fixed(list(xs), fixed)
+    index = xs[0].index
+    starts = list(init) if many else [] if init is None else [init]
+    accs, elements = [f"acc{k}" for k in range(max(1, len(starts)))], [f"e{k}" for k in range(len(xs))]
+    body = compile_kernel(f, [*closure, *(ir.Var(a) for a in accs), *(ir.Var(e) for e in elements)])
+    bodies = body.items if isinstance(body, ir.Tuple) else (body,)
+    if len(bodies) != len(accs):
+        raise ValueError(f"{len(bodies)} results for {len(accs)} accumulators")
+    kind = "double" if any(x.dtype.is_float for x in xs) or any(isinstance(v, (float, np.floating)) for v in starts) else "bigint"
+    others = [c for k, c in enumerate(index) if k != axis]
+    keys = [F.col(c).alias(f"g{k}") for k, c in enumerate(others)]
+    items = F.array_sort(F.collect_list(F.struct(F.col(index[axis]).alias("at"), *(x.column.cast(kind).alias(e) for x, e in zip(xs, elements)))))
+    sides = {k: f"__env_{k}" for k in env}
+    rows = xs[0].frame.groupBy(*keys).agg(items.alias("items"), *(F.first(c).alias(sides[k]) for k, c in env.items()))
+    side = {k: F.col(c) for k, c in sides.items()}
+
+    def step(done: Column, r: Column) -> Column:
+        before = {a: F.element_at(done, -1).getField(a) for a in accs}
+        scope = side | {e: r.getField(e) for e in elements}
+        after = F.struct(r.getField("at").cast("long").alias("at"), *(ir.to_column(b, scope | before).cast(kind).alias(a) for b, a in zip(bodies, accs)))
+        return F.concat(done, F.array(after))
+
+    items = F.col("items")
+    first = F.get(items, F.lit(0))
+    if init is None:
+        start = F.struct(first.getField("at").cast("long").alias("at"), first.getField("e0").cast(kind).alias("acc0"))
+        rest = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
+    else:
+        start, rest = F.struct(F.lit(-1).cast("long").alias("at"), *(F.lit(v).cast(kind).alias(a) for v, a in zip(starts, accs))), items
+    found = rows.select(*(f"g{k}" for k in range(len(others))), F.explode(F.aggregate(rest, F.array(start), step)).alias("r"))
+    found = found.where("r.at >= 0") if init is not None else found
+    moved = iter(range(len(others)))
+    columns = [F.col("r.at").alias(f"k{k}") if k == axis else F.col(f"g{next(moved)}").alias(f"k{k}") for k in range(rank)]
+    frame = found.select(*columns, *(F.col(f"r.{a}").alias(a) for a in accs))
+    out = tuple(Tensor(frame, [f"k{k}" for k in range(rank)], F.col(a), 0, xs[0]._shape) for a in accs)
+    return out if many else out[0]
+
+
+def _scan_one(f: Callable, x: Tensor, axis=None, init=None):
     axis = _normal_axis(0 if axis is None else axis, x.rank)
     name = monoid(f)
     if x.rank > 2:

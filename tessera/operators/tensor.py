@@ -96,6 +96,16 @@ class Tensor:
         frame = x.frame.groupBy(F.col(keep).alias("i0")).agg(F.transform(items, lambda s: s["v"]).alias("v"))
         return Tensor(frame, ("i0",), F.col("v"), 1)
 
+    def vectors(self) -> Tensor:
+        """The last axis as arrays; an array must fit in memory."""
+        if self.inner:
+            return self
+        *keep, last = self._positions()
+        items = F.array_sort(F.collect_list(F.struct(F.col(last).alias("i"), self.column.alias("v"))))
+        names = [f"i{k}" for k in range(len(keep))]
+        frame = self.frame.groupBy(*(F.col(c).alias(n) for c, n in zip(keep, names))).agg(F.transform(items, lambda s: s["v"]).alias("v"))
+        return Tensor(frame, names, F.col("v"), 1, self._shape)
+
     def cell(self) -> DataFrame:
         """One row with the whole vector as an array in column ``cell``; meant for small ones."""
         self._positions()

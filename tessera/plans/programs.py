@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernel import kernel
 from ..operators import adverbs
-from ..operators.tensor import Tensor, from_numpy
+from ..operators.tensor import Tensor
 
 
 @kernel
@@ -79,10 +82,40 @@ def centroid_sums(points: Tensor, labels: Tensor, width: int) -> DataFrame:
     return frame.groupBy("cluster").agg(F.count("*").alias("n"), *means)
 
 
-def kmeans(points: Tensor, k: int, rounds: int = 50, start: np.ndarray | None = None) -> tuple[np.ndarray, Tensor, int]:
+_SUMS = pa.schema([("part", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+
+def _cluster_totals(centroids: np.ndarray):
+    """Of a partition the number of rows nearest to each centroid, and their sum."""
+
+    def run(batches):
+        n, total = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+                far = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+                near = far.argmin(axis=1)
+                n += np.bincount(near, minlength=len(n))
+                np.add.at(total, near, x)
+        at = np.flatnonzero(n)
+        part = np.full(len(at), TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at, pa.int32()), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], schema=_SUMS)
+
+    return run
+
+
+def _add_totals(key, table):
+    table = table.sort_by("part")  # sums of doubles depend on their order, and must be the same in each round
+    total = np.asarray(table["total"].combine_chunks().flatten()).reshape(table.num_rows, -1).sum(axis=0)
+    return pa.table([pa.array([-1], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([sum(table["n"].to_pylist())], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], schema=_SUMS)
+
+
+def kmeans(points: Tensor, k: int, rounds: int = 1000, start: np.ndarray | None = None) -> tuple[np.ndarray, Tensor, int]:
     """Centroids, labels and rounds run. Starts from the first ``k`` rows; an empty cluster keeps its centroid.
 
-    The centroids (k rows) come to the driver every round; points never do.
+    Runs until no centroid moves, and raises if that takes more than ``rounds``.
+    The points are read once and kept by the executors; a round is one pass over
+    them whose sums, a vector a cluster, come to the driver.
     """
     if points.inner != 1:
         points = points.rows()
@@ -90,16 +123,20 @@ def kmeans(points: Tensor, k: int, rounds: int = 50, start: np.ndarray | None =
         first = points.frame.where(F.col(points.index[0]) < k).select(F.col(points.index[0]).alias("i"), points.column.alias("v")).collect()
         start = np.array([r["v"] for r in sorted(first, key=lambda r: r["i"])], float)
     centroids = np.array(start, float)
-    for done in range(1, rounds + 1):
-        labels = nearest(points, centroids)
-        moved = centroids.copy()
-        for r in centroid_sums(points, labels, centroids.shape[1]).collect():
-            moved[r["cluster"]] = r[2:]
-        stable = np.array_equal(moved, centroids)
-        centroids = moved
-        if stable:
-            break
-    return centroids, nearest(points, centroids), done
+    held = points.frame.select(points.column.alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    kind = "part int, cluster int, n long, total array<double>"
+    try:
+        for done in range(1, rounds + 1):
+            parts = held.mapInArrow(_cluster_totals(centroids), kind)
+            moved = centroids.copy()
+            for r in parts.groupBy("cluster").applyInArrow(_add_totals, kind).collect():  # a row a cluster
+                moved[r["cluster"]] = np.array(r["total"]) / r["n"]
+            if np.array_equal(moved, centroids):
+                return centroids, nearest(points, centroids), done
+            centroids = moved
+    finally:
+        held.unpersist()
+    raise RuntimeError(f"centroids still move after {rounds} rounds")
 
 
 # -- cosine transform
@@ -112,6 +149,37 @@ def dct_basis(n: int = 8) -> np.ndarray:
     return np.kron(one, one)
 
 
-def dct_blocks(spark: SparkSession, blocks: Tensor, n: int = 8) -> Tensor:
+def linear(x: Tensor, matrix: np.ndarray) -> Tensor:
+    """Each row of ``x`` times the transpose of a small matrix: batches of rows are multiplied in numpy, nothing is shuffled."""
+    if matrix.size > MAX_CENTROID_CELLS:
+        raise ValueError("the matrix goes to every task, so it must be small")
+    weights = np.array(matrix, float).T
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(rows.to_numpy()).astype(float) @ weights) if len(rows) else [], dtype=object)
+
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return x.with_column(F.pandas_udf(run, "array<double>")(x.column), 1)
+
+
+def dct_blocks(blocks: Tensor, n: int = 8) -> Tensor:
     """The two-dimensional cosine transform of rows that are n by n blocks."""
-    return adverbs.allpairs(inner, blocks, from_numpy(spark, dct_basis(n)))
+    return linear(blocks, dct_basis(n))
+
+
+@kernel
+def to_ycc(red, green, blue):
+    """Luminance and the two colour differences; the coefficients are fixed values of the JPEG colour space."""
+    light = 0.299 * red + 0.587 * green + 0.114 * blue
+    blueness = 128 - 0.168736 * red - 0.331264 * green + 0.5 * blue
+    redness = 128 + 0.5 * red - 0.418688 * green - 0.081312 * blue
+    return light, blueness, redness
+
+
+@kernel
+def to_rgb(light, blueness, redness):
+    """What ``to_ycc`` had; the coefficients are fixed values of the JPEG colour space."""
+    red = light + 1.402 * (redness - 128)
+    green = light - 0.34414 * (blueness - 128) - 0.71414 * (redness - 128)
+    blue = light + 1.772 * (blueness - 128)
+    return red, green, blue

@@ -38,7 +38,8 @@ def query(sql: str | None = None):
 
 def out(x: Tensor, digits: int | None = 6, **more: Tensor) -> DataFrame:
     """i0, i1 ... and v of a tensor, and columns of others over the same frame."""
-    named_columns = {"v": x} | more
+    x, *others = adverbs.align([x, *more.values()]) if more else [x]
+    named_columns = {"v": x} | dict(zip(more, others))
     cols = [(F.round(t.column, digits) if digits is not None and not t.inner and t.dtype.is_float else t.column).alias(n) for n, t in named_columns.items()]
     return x.frame.select(*(F.col(c).cast("long").alias(n) for c, n in zip(x.index or (), x.names())), *cols)
 
@@ -174,12 +175,12 @@ def reduce_prod(spark, folder):
 @query("SELECT round(min(o_totalprice), 6) AS lo, round(max(o_totalprice), 6) AS hi FROM orders")
 def reduce_minmax(spark, folder):
     (price,) = vectors(spark, folder, "orders", "o_totalprice")
-    return price.frame.agg(F.round(adverbs.MONOIDS[adverbs.monoid(min)](price.column), 6).alias("lo"), F.round(adverbs.MONOIDS[adverbs.monoid(max)](price.column), 6).alias("hi"))
+    return out(lib.min(price)).withColumnRenamed("v", "lo").crossJoin(out(lib.max(price)).withColumnRenamed("v", "hi"))  # a row each
 
 
 @query("SELECT round(max(o_totalprice), 6) AS v, round(min(o_totalprice), 6) AS least, count(*) * 1.0::DOUBLE AS n FROM orders")
 def reduce_multi_acc(spark, folder):
-    """Three accumulators in one ordered fold."""
+    """Three accumulators, each a known fold: one aggregation."""
     (price,) = vectors(spark, folder, "orders", "o_totalprice")
     hi, lo, n = adverbs.reduce(lambda a, b, n, x: (max(a, x), min(b, x), n + 1), price, init=(-1e300, 1e300, 0.0))
     return out(hi, least=lo, n=n)
@@ -196,8 +197,7 @@ def reduce_combine(spark, folder):
 @query("SELECT bool_and(quality >= 0) AS v, bool_or(toxic = 1) AS some FROM labels")
 def all_any(spark, folder):
     quality, toxic = vectors(spark, folder, "labels", "quality", "toxic")
-    found = quality.frame.agg(F.bool_and((quality >= 0).column).alias("v"), F.bool_or((toxic == 1).column).alias("some"))
-    return found
+    return out(lib.all(quality >= 0)).crossJoin(out(lib.any(toxic == 1)).withColumnRenamed("v", "some"))  # a row each
 
 
 @query("SELECT round(avg(l_discount), 6) AS v FROM lineitem")
@@ -395,7 +395,7 @@ def kmeans_step(spark, folder):
 
 @query()
 def kmeans(spark, folder):
-    """K-means until nothing moves, fifty rounds at most; tested against NumPy."""
+    """K-means until nothing moves; tested against NumPy."""
     _, labels, _ = programs.kmeans(matrix(spark, folder), _K)
     return out(labels)
 
@@ -406,7 +406,7 @@ def kmeans(spark, folder):
         * (CASE WHEN u = 0 THEN sqrt(1 / 8) ELSE 0.5 END) * (CASE WHEN w = 0 THEN sqrt(1 / 8) ELSE 0.5 END), 4) AS v
     FROM embeddings, range(0, 8) a(u), range(0, 8) b(w)""")
 def dct8x8(spark, folder):
-    return out(programs.dct_blocks(spark, arrays.cast(matrix(spark, folder), _DOUBLE)), 4)
+    return out(programs.dct_blocks(matrix(spark, folder)).long(), 4)
 
 
 @query("SELECT round(sum(sqrt(l_extendedprice * (1 - l_discount)) + 1), 2) AS v FROM lineitem")
@@ -418,9 +418,26 @@ def fused_pipeline(spark, folder):
     return out(adverbs.reduce(operator.add, rooted), 2)
 
 
+_HALVED = "greatest(0, ceil(log2(greatest(value, 1) / 50)))"
+
+
+@query(f"SELECT event_id AS i0, round(CASE WHEN value > 50 THEN value / pow(2, {_HALVED}) ELSE value END, 6) AS v FROM events")
+def loop_on_data(spark, folder):
+    """A loop whose end depends on the data: batches of elements, of which ever fewer go on."""
+    (value,) = vectors(spark, folder, "events", "value")
+    return out(adverbs.map(_halved, value))
+
+
+@kernel
+def _halved(x):
+    while x > 50:
+        x = x / 2
+    return x
+
+
 @query("SELECT event_id AS i0, round(CASE WHEN value > 50 THEN sqrt(value) ELSE value * value END, 6) AS v FROM events")
 def opaque_map(spark, folder):
-    """A payload that can't be compiled (its loop ends on the data) runs over Arrow batches."""
+    """A payload that can't be compiled (it returns from a loop) runs over Arrow batches."""
     (value,) = vectors(spark, folder, "events", "value")
     return out(adverbs.map(_opaque, value))
 
@@ -431,3 +448,99 @@ def _opaque(x):
         return math.sqrt(x)
     return x * x
 
+
+# -- operations by themselves
+
+
+@query("""SELECT p_partkey AS i0, pow(p_size, 2)::DOUBLE AS v, p_size <> 7 AS other, NOT (p_size > 20) AS small,
+    (p_size > 10 AND p_size < 30) AS middle, (p_size < 5 OR p_size > 45) AS extreme, least(p_size, 9)::INT AS lo, greatest(p_size, 9)::INT AS hi FROM part""")
+def scalar_ops(spark, folder):
+    (size,) = vectors(spark, folder, "part", "p_size")
+    return out(lib.power(size, 2), other=size != 7, small=~(size > 20), middle=(size > 10) & (size < 30), extreme=(size < 5) | (size > 45), lo=lib.minimum(size, 9), hi=lib.maximum(size, 9))
+
+
+@query(f"WITH {_LONG} SELECT i1 AS i0, round(max(v)::DOUBLE, 5) AS v FROM long GROUP BY i1")
+def ufunc_reduce(spark, folder):
+    return out(lib.ufunc("max").reduce(arrays.cast(matrix(spark, folder), _DOUBLE)), 5)
+
+
+@query(f"WITH {_LONG} SELECT i0, i1, round(min(v) OVER (PARTITION BY i1 ORDER BY i0 ROWS UNBOUNDED PRECEDING)::DOUBLE, 5) AS v FROM long")
+def ufunc_accumulate(spark, folder):
+    return out(lib.ufunc("min").accumulate(arrays.cast(matrix(spark, folder), _DOUBLE)), 5)
+
+
+@query("SELECT n_nationkey::BIGINT AS i0, [53, 2, -302, 1][n_nationkey % 4 + 1] + 4 AS v FROM nation")
+def array_literal(spark, folder):
+    """A literal in a payload, indexed by calling it, and its length."""
+    (key,) = vectors(spark, folder, "nation", "n_nationkey")
+    return out(adverbs.map(_from_literal, key))
+
+
+@kernel
+def _from_literal(k):
+    table = np.array([53, 2, -302, 1])
+    return table(k % 4) + len(table)
+
+
+_RATE = 7
+
+
+@query("SELECT p_partkey AS i0, p_size * 7 + 3 + (0 + 1 + 2 + 3) AS v FROM part")
+def globals_and_defaults(spark, folder):
+    """A module's variable, a default, a keyword argument and a counted loop."""
+    (size,) = vectors(spark, folder, "part", "p_size")
+    return out(adverbs.map(_rated, size, more=3))
+
+
+@kernel
+def _rated(x, more=1, turns=4):
+    total = x * _RATE + more
+    for i in range(turns):
+        total = total + i
+    return total
+
+
+@query("SELECT vec_id AS i0, unnest(range(64)) AS i1, round(unnest(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 5) AS v FROM embeddings")
+def rank_mismatch(spark, folder):
+    """A vector meets the trailing axis of a matrix."""
+    weights = from_numpy(spark, np.arange(1.0, 65.0))
+    return out(arrays.cast(matrix(spark, folder), _DOUBLE) * weights, 5)
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_extendedprice + l_quantity) / 2, 6) AS v FROM lineitem")
+def average_of_two(spark, folder):
+    base = table(spark, folder, "lineitem")
+    half = adverbs.map(lambda a, b: (a + b) / 2, column(base, "l_extendedprice"), column(base, "l_quantity"))
+    return half.frame.select("l_orderkey", "l_linenumber", F.round(half.column, 6).alias("v"))
+
+
+@query("SELECT (SELECT count(*) FROM part)::BIGINT AS v, 64::BIGINT AS width")
+def length(spark, folder):
+    return spark.createDataFrame([(len(vectors(spark, folder, "part", "p_size")[0]), matrix(spark, folder).shape[1])], "v long, width long")
+
+
+@query("""SELECT event_id AS i0, round(sum(value) OVER w, 2) AS v, round(max(value * 2) OVER w, 6) AS most FROM events
+    WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def scan_multi(spark, folder):
+    """Two accumulators of one scan."""
+    (value,) = vectors(spark, folder, "events", "value")
+    total, most = adverbs.scan(lambda s, m, x: (s + x, max(m, x * 2)), value, init=(0.0, -1e300))
+    found, more = out(total, 2), out(most).withColumnRenamed("v", "most")
+    return found.join(more, "i0")
+
+
+@query("SELECT vec_id % 10 AS i0, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS v FROM embeddings WHERE vec_id < 100 GROUP BY 1")
+def map_axis_rank3(spark, folder):
+    """Sums of squares of the slices of a tensor of three axes, along the middle one."""
+    some = matrix(spark, folder).frame.where("vec_id < 100")
+    cells = some.select(F.floor(F.col("vec_id") / 10).alias("a"), (F.col("vec_id") % 10).alias("b"), F.posexplode("embedding").alias("c", "v"))
+    x = column(cells, F.col("v").cast("double"), ("a", "b", "c"))
+    return out(adverbs.map(lambda s: sum(s * s), x, axis=1), 4)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(0.299 * l_quantity + 0.587 * l_discount + 0.114 * l_tax, 6) AS light,
+    round(128 - 0.168736 * l_quantity - 0.331264 * l_discount + 0.5 * l_tax, 6) AS blueness, round(128 + 0.5 * l_quantity - 0.418688 * l_discount - 0.081312 * l_tax, 6) AS redness FROM lineitem""")
+def colour_space(spark, folder):
+    base = table(spark, folder, "lineitem")
+    light, blue, red = programs.to_ycc(*(column(base, c) for c in ("l_quantity", "l_discount", "l_tax")))
+    return light.frame.select("l_orderkey", "l_linenumber", *(F.round(t.column, 6).alias(n) for n, t in (("light", light), ("blueness", blue), ("redness", red))))
