@@ -78,6 +78,17 @@ QUERIES = {
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SEPARATOR = r"[^0-9a-z\x{80}-\x{10FFFF}]"
+
+
+def _pattern_sql(pattern: str) -> str:
+    """A pattern rule as a regular expression of DuckDB."""
+    parts = {"*": ".*", "^": f"(?:{_SEPARATOR}|\\A|\\z)", ".": "[.]"}
+    begin, end = pattern.startswith("|"), pattern.endswith("|")
+    return "\\A" * begin + "".join(parts.get(c, c) for c in pattern[begin : len(pattern) - end]) + "\\z" * end
+
+
+#: The longest pattern that fits says what happens.
+_PATTERNS = "\n            ".join(f"WHEN regexp_matches(whole, '{_pattern_sql(r.name)}', 's') THEN '{r.action}'" for r in sorted(urls.PATTERN_RULES, key=lambda r: (-len(r.name), r.name)))
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
 
 ORACLE_SQL = {
@@ -130,7 +141,7 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host || path, '(?:{_SEPARATOR}|\\A)(?:{"|".join(urls.BLOCKED_WORDS)})(?:{_SEPARATOR}|\\z)') THEN 'block'
+            {_PATTERNS}
             ELSE 'allow' END AS verdict
-        FROM ruled""",
+        FROM (SELECT *, translate(host || path, {_LETTERS}) AS whole FROM ruled)""",
 }

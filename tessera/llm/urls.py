@@ -48,11 +48,19 @@ def host_rule(rule: str, action: str) -> UrlRule:
     return UrlRule(rule, action, r"\A(?:[^/]*\.)?" + re.escape(whole) + ending, tuple(m[0] for m in found), True)
 
 
+_PARTS = {"*": ".*", "^": f"(?:[^{_TOKEN_CHARS}]|\\A|\\Z)"}
+
+
 def pattern_rule(pattern: str, action: str) -> UrlRule:
-    """A pattern in lower case: ``*`` stands for any run, ``^`` for a separator or an end, the rest for itself."""
-    parts = {"*": ".*", "^": f"(?:[^{_TOKEN_CHARS}]|\\A|\\Z)"}
-    regex = "(?s)" + "".join(parts.get(c) or re.escape(c) for c in pattern)
-    bounded = [m[0] for m in _TOKEN.finditer(pattern) if m.start() and pattern[m.start() - 1] != "*" and m.end() < len(pattern) and pattern[m.end()] != "*"]
+    """A pattern in lower case, for the lower-cased ``host + path``.
+
+    ``*`` stands for any run, ``^`` for a separator or an end, ``|`` in front
+    for the host's beginning and at the end for the path's end, the rest for itself.
+    """
+    begin, end = pattern.startswith("|"), pattern.endswith("|")
+    bare = pattern[begin : len(pattern) - end]
+    regex = "(?s)" + "\\A" * begin + "".join(_PARTS.get(c) or re.escape(c) for c in bare) + "\\Z" * end
+    bounded = [m[0] for m in _TOKEN.finditer(bare) if (bare[m.start() - 1] != "*" if m.start() else begin) and (bare[m.end()] != "*" if m.end() < len(bare) else end)]
     return UrlRule(pattern, action, regex, tuple(bounded), False)
 
 
@@ -64,9 +72,16 @@ HOST_RULES = (
     host_rule("example.net/de/8", "block"),
     host_rule("org/es/", "block"),
 )
-#: Words that mark gambling, adult, advertising and spam hosts or paths.
-BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "malware", "phishing", "pills", "poker", "porn", "spam", "viagra", "warez")
-PATTERN_RULES = tuple(pattern_rule(f"^{w}^", "block") for w in BLOCKED_WORDS)
+#: Patterns of gambling, adult, advertising, tracking, malware and spam hosts or paths.
+BLOCKED = (
+    "^adult^", "^ads^", "^bets^", "^casino^", "^malware^", "^phishing^", "^pills^", "^poker^", "^porn^", "^spam^", "^viagra^", "^warez^", "^keygen^",
+    "^free^spins^", "^sports^betting^", "^live^cams^", "^adult^chat^", "^online^pharmacy^", "^no^prescription^", "^buy^followers^", "^payday^loans^", "^essay^writing^service^",
+    "^click^track^", "^track^pixel^", "^ad^banner^", "^pop^under^", "^affiliate^redirect^", "^session^replay^", "|ads.*^click^", "|track.*^pixel^", "|adserver.*^view^",
+    "^crack*^download^", "^serial*^keys^", "^free^download*.exe|", "^update*.scr|", "^verify*^account^login^", "^wallet^recovery^", "^link^farm^", "^tag^cloud^page^", "^search^results^|",
+)
+#: Patterns that are longer than those of BLOCKED that they except.
+ALLOWED = ("^responsible^gambling^casino^", "^addiction^help^poker^", "^health^topics^pills^", "^security^advice^phishing^", "^stop^spam^advice^", "^malware^removal^guide^")
+PATTERN_RULES = (*(pattern_rule(x, "block") for x in BLOCKED), *(pattern_rule(x, "allow") for x in ALLOWED))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -99,7 +114,8 @@ class RuleIndex:
 
     def first(self, host: str, path: str) -> UrlRule | None:
         whole = host + path
-        return next((self.rules[i] for i in self.candidates(host, path) if self.regexes[i].search(whole)), None)
+        lower = whole.translate(_TO_LOWER)
+        return next((self.rules[i] for i in self.candidates(host, path) if self.regexes[i].search(whole if self.rules[i].explicit else lower)), None)
 
 
 def token_counts(pages: DataFrame, url_col: str, tokens: set[str]) -> dict[str, int]:
@@ -119,7 +135,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = HOST_RULES + PATTER
 
     One row per input row, so null ids, ties and repeated rows stay; a null URL
     has empty host and path and the verdict of the rules that fit those, else
-    ``default``. Of explicit rules the longest wins, then the first by name.
+    ``default``. Of explicit rules the longest wins, then the first by name; of
+    patterns too, which see A-Z in lower case.
     Other columns are not read.
     """
     if sum(len(r.regex) + len(r.name) for r in rules) > MAX_RULE_CHARS:

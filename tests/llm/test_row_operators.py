@@ -104,8 +104,8 @@ def test_media_edge_cases(spark):
 
 def test_rules_match_scanning_all(spark):
     rng = random.Random(0)
-    hosts = ["example.com", "a.example.com", "com", "xcom", "b.net", "example.net", "x.org", "my-casino.org", "CASINO.net", ""]
-    paths = ["/en/", "/en/7", "/en/72?x=/de/", "/de/8#a", "/de/", "/es/q", "/EN/", "", "/ads/banner", "/loads/x"]
+    hosts = ["ads.x.gov", "example.com", "a.example.com", "com", "xcom", "b.net", "example.net", "x.org", "my-casino.org", "CASINO.net", ""]
+    paths = ["/free/download/x.EXE", "/crack-it/x/download/", "/Casino/a", "/responsible-gambling/casino/", "/search/results/", "/search/results/2", "/en/", "/en/7", "/en/72?x=/de/", "/de/8#a", "/de/", "/es/q", "/EN/", "", "/ads/banner", "/loads/x"]
     pages = [(i, f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}") for i in range(300)]
     pages += [(900, None), (901, "no url"), (902, "://"), (903, "a://b://c/en/"), (None, "http://com/en/x"), (904, "http://é.com/en/\n1")]
     rules = urls.HOST_RULES + urls.PATTERN_RULES + (urls.pattern_rule("*ban*", "block"), urls.host_rule("net", "allow"))
@@ -115,7 +115,7 @@ def test_rules_match_scanning_all(spark):
 
     for i, u in pages:
         host, path = urls.split_url(u)
-        r = next((r for r in index.rules if re.search(r.regex, host + path)), None)
+        r = next((r for r in index.rules if re.search(r.regex, host + path if r.explicit else (host + path).lower())), None)
         assert got[i, host, path] == (r.name if r and r.explicit else None, r.name if r and not r.explicit else None, r.action if r else "allow")
     assert urls.split_url("a://B.c/en/?x") == ("b.c", "/en/") and urls.split_url("a://b://c") == ("b:", "//c")
 
@@ -126,6 +126,41 @@ def test_only_rules_with_the_token_are_tried():
     assert index.candidates("x.net", "/fr/1") != [] and index.candidates("x.gov", "/fr/1") == []
 
 
+def test_rarity_decides_what_runs():
+    rule = urls.pattern_rule("^free^download^", "block")
+    common = {"free": 1000, "download": 3}
+    ran = []
+
+    class Spy:
+        def search(self, whole):
+            ran.append(whole)
+            return re.search(rule.regex, whole)
+
+    for counts, runs in ((common, ["a.b/x/download"]), ({"free": 3, "download": 1000}, ["a.b/free/x"])):
+        ran.clear()
+        index = urls.RuleIndex([rule], counts)
+        index.regexes = [Spy()]
+        assert [index.first("a.b", p) for p in ("/free/x", "/x/download", "/x")] == [None] * 3 and ran == runs
+        assert index.first("a.b", "/free/download/") is rule
+    assert urls.pattern_rule("|ads.*^x^", "block").tokens == ("ads", "x") and urls.pattern_rule("^a*b^.exe|", "block").tokens == ("exe",)
+
+
+def test_url_query_matches_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL
+
+    rng = random.Random(4)
+    parts = sorted({t for r in urls.PATTERN_RULES for t in r.tokens} | {"EN", "de", "x", "é", "Casino"})
+    pages = [(k, "http://" + rng.choice("./-").join(rng.choices(parts, k=3)) + rng.choice("/._-").join(["", *rng.choices(parts, k=rng.randrange(5)), rng.choice(["", "a.exe", "u.scr"])])) for k in range(3000)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in op5_urls(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE_SQL['op5_urls']})").fetchall())
+    assert got == want and 300 < sum(r[4] == "block" for r in got) < 2900
+
+
 def test_url_query(spark, sf):
     assert op5_urls(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
 
