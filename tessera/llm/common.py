@@ -95,6 +95,18 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return moved.select(*(F.col(f"c{names.index(old)}").alias(new) for new, old in columns.items()))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run meanwhile gets Arrow batches of so many rows at most, for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrow_batch(schema: pa.Schema, rows: Iterable[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
