@@ -197,6 +197,15 @@ def test_allpairs(spark):
     assert left.frame.count() == 25
 
 
+def test_paired_blocks_are_not_shuffled(spark):
+    a = np.arange(1200.0).reshape(600, 2)
+    x = from_numpy(spark, a)
+    pairs = adverbs.allpairs(programs.sqdist, x, x)
+    plan = pairs.frame._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")]
+    np.testing.assert_allclose(pairs.numpy(), ((a[:, None] - a) ** 2).sum(axis=2))
+
+
 def test_array_operators(spark):
     v = np.array([5, 3, 9, 3, 7, 1, 9, 2, 2, 4], np.int64)
     x = from_numpy(spark, v)
