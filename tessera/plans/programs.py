@@ -82,21 +82,57 @@ def centroid_sums(points: Tensor, labels: Tensor, width: int) -> DataFrame:
     return frame.groupBy("cluster").agg(F.count("*").alias("n"), *means)
 
 
+#: Numbers that the sums of a round bring to the driver at most, and tasks of a round.
+MAX_SUM_CELLS, MAX_ROUND_TASKS = 1 << 22, 256
+
+_PACKED = pa.schema([("n", pa.int32()), ("data", pa.binary())])
 _SUMS = pa.schema([("part", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
 
 
-def _cluster_totals(centroids: np.ndarray):
+def _pack(kind: str):
+    """Points of a batch as bytes in one row, which later passes read without taking elements apart."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                data = np.asarray(batch.column(0).flatten()).astype(kind).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), pa.array([data], pa.binary())], schema=_PACKED)
+
+    return run
+
+
+def nearest_rows(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest centroid by the sum of squared differences, the first of equals.
+
+    A matrix product decides where it is sure to; its error is far below ``slack``.
+    """
+    at = np.arange(len(x))
+    with np.errstate(all="ignore"):
+        size = (centroids**2).sum(axis=1)
+        far = size - 2 * (x @ centroids.T)
+        near = far.argmin(axis=1)
+        best = far[at, near]
+        far[at, near] = np.inf
+        slack = 1e-9 * ((x**2).sum(axis=1) + size.max())
+        unsure = np.flatnonzero(~(far.min(axis=1) - best > slack))
+        if len(unsure):
+            near[unsure] = np.stack([((x[unsure] - c) ** 2).sum(axis=1) for c in centroids], axis=1).argmin(axis=1)
+    return near
+
+
+def _cluster_totals(centroids: np.ndarray, kind: str):
     """Of a partition the number of rows nearest to each centroid, and their sum."""
 
     def run(batches):
         n, total = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape)
         for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
-                far = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
-                near = far.argmin(axis=1)
-                n += np.bincount(near, minlength=len(n))
-                np.add.at(total, near, x)
+            for rows, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(data.as_buffer(), kind).reshape(rows, -1).astype(float)
+                near = nearest_rows(x, centroids)
+                here = np.bincount(near, minlength=len(n))
+                at = np.flatnonzero(here)
+                total[at] += np.add.reduceat(x[np.argsort(near, kind="stable")], (np.cumsum(here) - here)[at], axis=0)
+                n += here
         at = np.flatnonzero(n)
         part = np.full(len(at), TaskContext.get().partitionId())
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at, pa.int32()), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], schema=_SUMS)
@@ -104,18 +140,12 @@ def _cluster_totals(centroids: np.ndarray):
     return run
 
 
-def _add_totals(key, table):
-    table = table.sort_by("part")  # sums of doubles depend on their order, and must be the same in each round
-    total = np.asarray(table["total"].combine_chunks().flatten()).reshape(table.num_rows, -1).sum(axis=0)
-    return pa.table([pa.array([-1], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([sum(table["n"].to_pylist())], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], schema=_SUMS)
-
-
 def kmeans(points: Tensor, k: int, rounds: int = 1000, start: np.ndarray | None = None) -> tuple[np.ndarray, Tensor, int]:
     """Centroids, labels and rounds run. Starts from the first ``k`` rows; an empty cluster keeps its centroid.
 
     Runs until no centroid moves, and raises if that takes more than ``rounds``.
-    The points are read once and kept by the executors; a round is one pass over
-    them whose sums, a vector a cluster, come to the driver.
+    The points are read once and kept by the executors, packed; a round is one
+    stage without a shuffle, whose sums, a vector a cluster and task, come to the driver.
     """
     if points.inner != 1:
         points = points.rows()
@@ -123,14 +153,17 @@ def kmeans(points: Tensor, k: int, rounds: int = 1000, start: np.ndarray | None
         first = points.frame.where(F.col(points.index[0]) < k).select(F.col(points.index[0]).alias("i"), points.column.alias("v")).collect()
         start = np.array([r["v"] for r in sorted(first, key=lambda r: r["i"])], float)
     centroids = np.array(start, float)
-    held = points.frame.select(points.column.alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    kind = "part int, cluster int, n long, total array<double>"
+    kind = np.dtype(points.dtype.numpy).str
+    tasks = max(1, min(MAX_ROUND_TASKS, MAX_SUM_CELLS // max(1, centroids.size)))
+    held = points.frame.select(points.column.alias("v")).coalesce(tasks).mapInArrow(_pack(kind), "n int, data binary").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for done in range(1, rounds + 1):
-            parts = held.mapInArrow(_cluster_totals(centroids), kind)
-            moved = centroids.copy()
-            for r in parts.groupBy("cluster").applyInArrow(_add_totals, kind).collect():  # a row a cluster
-                moved[r["cluster"]] = np.array(r["total"]) / r["n"]
+            parts = held.mapInArrow(_cluster_totals(centroids, kind), "part int, cluster int, n long, total array<double>").collect()
+            n, total = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape)
+            for r in sorted(parts, key=lambda r: r["part"]):  # sums of doubles depend on their order, and must be the same in each round
+                n[r["cluster"]] += r["n"]
+                total[r["cluster"]] += r["total"]
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
             if np.array_equal(moved, centroids):
                 return centroids, nearest(points, centroids), done
             centroids = moved

@@ -362,3 +362,19 @@ def test_colours_there_and_back(spark):
     rgb = [from_numpy(spark, v) for v in RNG.uniform(0, 255, size=(3, 5))]
     for got, want in zip(programs.to_rgb(*programs.to_ycc(*rgb)), rgb):
         np.testing.assert_allclose(got.numpy(), want.numpy(), atol=1e-2)
+
+
+def test_a_round_of_kmeans_is_one_job(spark):
+    m = np.random.default_rng(4).normal(size=(400, 3)).astype(np.float32)
+    points = from_numpy(spark, m)
+    sc = spark.sparkContext
+    sc.setJobGroup("kmeans rounds", "")
+    _, labels, rounds = programs.kmeans(points, 4, start=m[:4].astype(float))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("kmeans rounds"))
+    sc.setJobGroup("others", "")
+    assert rounds > 3 and jobs <= rounds
+    x = np.array([[0.0, 0], [1, 1], [np.nan, 1], [0.5, 0.5], [1e200, 0]])
+    c = np.array([[0.0, 0], [1, 1], [1, 1]])
+    with np.errstate(all="ignore"):
+        assert programs.nearest_rows(x, c).tolist() == ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1).tolist()
+        assert programs.nearest_rows(m.astype(float), c[:, [0, 1, 1]]).tolist() == ((m[:, None].astype(float) - c[:, [0, 1, 1]]) ** 2).sum(axis=2).argmin(axis=1).tolist()
